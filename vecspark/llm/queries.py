@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecspark.llm import bpe, exact_dedup, packing
+from vecspark.llm import bpe, exact_dedup, near_dedup, packing
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -31,8 +31,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, at_least=(85, 100))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op5_exact_dedup, op8_best_fit_packing)
+    f.__name__: f for f in (op1_bpe_round_trip, op5_exact_dedup, op8_best_fit_packing, op10_minhash_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
