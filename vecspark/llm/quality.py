@@ -25,7 +25,7 @@ from vecspark.session import ship
 
 BITS, SAMPLE = 14, 6000
 BAD, GOOD = 1, 2
-LOOSE, FIRM = 0.01, 0.8
+LOOSE, FIRM = 0.01, 0.98
 #: With fewer words no labeller votes bad; the combination of a text without words.
 FEW, NOTHING = 10, -1
 #: Name, and from which value on it votes bad, up to which value good.
