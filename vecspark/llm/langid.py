@@ -80,42 +80,67 @@ def profiles(docs: DataFrame, lang: str, text: str, length: int = LENGTH) -> lis
     return [(name, np.array(listed)) for name, listed in out.items()]
 
 
+def predictor(learned: list[tuple[str, np.ndarray]], length: int = LENGTH):
+    """A function of texts that gives the nearest language (or und), the score and the number of letters of each."""
+    names = [name for name, _ in learned]
+    ranks = np.full((len(names), CODES), length, np.int32)
+    for k, (_, listed) in enumerate(learned):
+        ranks[k, listed] = np.arange(len(listed))
+
+    def nearest(texts):
+        stream, at, n = ngrams.letter_stream(texts)
+        found, where = codes(stream)
+        owner = ngrams.owners(at, len(stream))[where]
+        both = owner.astype(np.uint32) << np.uint32(BITS) | found if len(n) < 1 << 13 else owner << BITS | found
+        both.sort()
+        both, count = ngrams.runs(both)
+        doc, code = (both >> BITS).astype(np.int64), (both & ((1 << BITS) - 1)).astype(np.int64)
+        order = np.lexsort((-count, doc))  # stable: of equal counts the smaller code first
+        doc, code = doc[order], code[order]
+        rank = np.arange(len(doc)) - np.searchsorted(doc, np.arange(len(n)))[doc]
+        top = rank < length
+        doc, code, rank = doc[top], code[top], rank[top]
+        far = np.array([np.bincount(doc, np.where(r[code] < length, np.abs(r[code] - rank), length), minlength=len(n)) for r in ranks]).reshape(len(names), len(n))
+        known = (n > 0) & bool(names)
+        best = far.argmin(axis=0) if names else np.zeros(len(n), int)
+        least = far.min(axis=0) if names else np.zeros(len(n))
+        score = np.where(known, 1 - least / np.maximum(1, np.bincount(doc, minlength=len(n)) * length), 0.0).clip(0, 1)
+        return [names[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist(), strict=True)], score, n
+
+    return nearest
+
+
 def predict(docs: DataFrame, learned: list[tuple[str, np.ndarray]], doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, lang_pred, score, n_letters for each row; score is 1 minus the distance's share of the largest possible."""
     spark = docs.sparkSession
     ship(spark)
     textscan.limit_batches(spark)
-    sent = spark.sparkContext.broadcast(learned)
+    sent = spark.sparkContext.broadcast(learned)  # length numbers for each language
 
     def run(batches):
-        names = [name for name, _ in sent.value]
-        ranks = np.full((len(names), CODES), length, np.int32)
-        for k, (_, listed) in enumerate(sent.value):
-            ranks[k, listed] = np.arange(len(listed))
+        nearest = predictor(sent.value, length)
         for b in batches:
-            stream, at, n = ngrams.letter_stream(b.column(1))
-            found, where = codes(stream)
-            both = (ngrams.owners(at, len(stream)).astype(np.uint32)[where] << np.uint32(BITS)) | found if len(n) < 1 << 13 else ngrams.owners(at, len(stream))[where] << BITS | found
-            both.sort()
-            both, count = ngrams.runs(both)
-            doc, code = (both >> BITS).astype(np.int64), (both & ((1 << BITS) - 1)).astype(np.int64)
-            order = np.lexsort((-count, doc))  # stable: of equal counts the smaller code first
-            doc, code = doc[order], code[order]
-            first = np.searchsorted(doc, np.arange(len(n)))
-            rank = np.arange(len(doc)) - first[doc] if len(doc) else np.zeros(0, np.int64)
-            top = rank < length
-            doc, code, rank = doc[top], code[top], rank[top]
-            far = np.array([np.bincount(doc, np.abs(r[code] - rank) * (r[code] < length) + length * (r[code] == length), minlength=len(n)) for r in ranks]).reshape(len(names), len(n))
-            used = np.bincount(doc, minlength=len(n))
-            known = (n > 0) & bool(names)
-            best = far.argmin(axis=0) if names else np.zeros(len(n), int)
-            score = np.where(known, 1 - (far[best, np.arange(len(n))] if names else 0) / np.maximum(1, used * length), 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([names[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist(), strict=True)], pa.string()), pa.array(score.clip(0, 1)), pa.array(n)], ["doc_id", "lang_pred", "score", "n_letters"])
+            names, score, n = nearest(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(n)], ["doc_id", "lang_pred", "score", "n_letters"])
 
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, lang_pred string, score double, n_letters long")
 
 
+def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.05) -> DataFrame:
+    """docs, all columns, without the rows whose language is und or whose score is under ``least``."""
+    learned = profiles(docs.filter(~held_out(docs[doc_id])), lang, text)
+    sent, at = docs.sparkSession.sparkContext.broadcast(learned), docs.columns.index(text)
+
+    def run(batches):
+        nearest = predictor(sent.value)
+        for b in batches:
+            names, score, _ = nearest(b.column(at).cast(pa.string()))
+            yield b.filter(pa.array((np.array(names, object) != "und") & (score >= least), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(column) -> F.Column:
     return F.crc32(column.cast("long").cast("string").cast("binary")) % 4 == 2
 

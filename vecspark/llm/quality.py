@@ -188,6 +188,21 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
     return posterior, weights, intercept
 
 
+def scorer(model: Model):
+    """A function of texts that gives the quality and the posterior of each."""
+    posterior, weights, intercept = model
+
+    def rate(texts):
+        columns, values, cuts, cast = features(texts)
+        own = np.array([posterior.get(v, 0.0) for v in cast.tolist()], float)
+        if weights is None:
+            return own, own
+        total = np.concatenate([[0], np.cumsum(weights[columns].astype(float) * values)])
+        return np.where(cast == NOTHING, own, linear.sigmoid(np.diff(total[cuts]) + intercept)), own
+
+    return rate
+
+
 def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, quality (0 to 1), posterior (0 to 1) and good for each row."""
     spark = docs.sparkSession
@@ -196,20 +211,27 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     sent = spark.sparkContext.broadcast(model)
 
     def run(batches):
-        posterior, weights, intercept = sent.value
+        rate = scorer(sent.value)
         for b in batches:
-            columns, values, cuts, cast = features(b.column(1))
-            own = np.array([posterior.get(v, 0.0) for v in cast.tolist()])
-            quality = own
-            if weights is not None:
-                total = np.concatenate([[0], np.cumsum(weights[columns].astype(float) * values)])
-                quality = np.where(cast == NOTHING, own, linear.sigmoid(np.diff(total[cuts]) + intercept))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(quality, pa.float64()), pa.array(own, pa.float64()), pa.array(quality >= 0.5)], ["doc_id", "quality", "posterior", "good"])
+            quality, own = rate(b.column(1))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(quality), pa.array(own), pa.array(quality >= 0.5)], ["doc_id", "quality", "posterior", "good"])
 
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     return picked.mapInArrow(run, "doc_id long, quality double, posterior double, good boolean")
 
 
+def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
+    """docs, all columns, without the rows whose quality is under ``least``."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(learn(docs, doc_id, text)), docs.columns.index(text)
+
+    def run(batches):
+        rate = scorer(sent.value)
+        for b in batches:
+            yield b.filter(pa.array(rate(b.column(at).cast(pa.string()))[0] >= least, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:
     """Learn from docs alone and score every row."""
     return score(docs, learn(docs, doc_id, text, sample), doc_id, text)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecspark.llm import bpe, exact_dedup, langid, license_scan, near_dedup, packing, quality, topk_search, toxicity
+from vecspark.llm import bpe, exact_dedup, langid, license_scan, line_dedup, near_dedup, packing, quality, topk_search, toxicity
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -51,13 +51,17 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "n_links", "text_sha256")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, at_least=(85, 100))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op2_license_scan, op3_language_id, op4_topk_search, op5_exact_dedup, op6_toxicity, op7_quality_classifier, op8_best_fit_packing, op10_minhash_near_dedup)
+    f.__name__: f for f in (op1_bpe_round_trip, op2_license_scan, op3_language_id, op4_topk_search, op5_exact_dedup, op6_toxicity, op7_quality_classifier, op8_best_fit_packing, op9_line_dedup, op10_minhash_near_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
