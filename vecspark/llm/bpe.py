@@ -28,9 +28,9 @@ from vecspark.llm import textscan
 from vecspark.session import ship
 
 #: Text bytes that are encoded together: the words of so much text form one trie.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 #: Chunks and words that a worker remembers at most; it then starts anew.
-REMEMBER = 400_000
+REMEMBER = 150_000
 
 
 def byte_symbols() -> list[str]:
@@ -85,7 +85,7 @@ class WordTrie:
 
     def _ending(self, tail: bytes, tokens: dict[bytes, int], long: dict[bytes, tuple[int, ...]], seen: dict[bytes, tuple]) -> tuple:
         """What can end in a tail (at most TAIL bytes): lengths of longer tokens to try, and the (length, id) of the others, longest first."""
-        if len(seen) > 500_000:
+        if len(seen) > 150_000:
             seen.clear()
         n = len(tail)
         out = seen[tail] = long.get(tail, ()), tuple((k, t) for k in range(n, 0, -1) if (t := tokens.get(tail[n - k :])) is not None)
@@ -126,7 +126,7 @@ class WordTrie:
                 i += 1
             else:
                 j += 1
-        if len(self._fits) > 2_000_000:
+        if len(self._fits) > 400_000:
             self._fits.clear()
         self._fits[a << 20 | b] = good
         return good
@@ -401,7 +401,7 @@ def round_trip(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True))], names[: len(columns) + 1])
 
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return picked.mapInArrow(run, ENCODED + (", ids string, decoded string" if keep_texts else ""))
+    return picked.mapInArrow(textscan.lean(run), ENCODED + (", ids string, decoded string" if keep_texts else ""))
 
 
 def decode(ids: Iterable[int], file: str) -> str:

@@ -72,7 +72,7 @@ def profiles(docs: DataFrame, lang: str, text: str, length: int = LENGTH) -> lis
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "code", "n"])
 
     picked = docs.filter(docs[lang].isNotNull() & docs[text].isNotNull()).select(docs[text].cast("string").alias("text"), docs[lang].cast("string").alias("lang"))
-    total = picked.mapInArrow(run, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    total = picked.mapInArrow(textscan.lean(run), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))
     out: dict[str, list[int]] = {}
     for r in sorted(total.withColumn("place", place).filter(F.col("place") <= length).collect(), key=lambda r: (r["lang"], r["place"])):
@@ -124,7 +124,7 @@ def predict(docs: DataFrame, learned: list[tuple[str, np.ndarray]], doc_id: str
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(n)], ["doc_id", "lang_pred", "score", "n_letters"])
 
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, lang_pred string, score double, n_letters long")
+    return picked.mapInArrow(textscan.lean(run), "doc_id long, lang_pred string, score double, n_letters long")
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", least: float = 0.05) -> DataFrame:
@@ -138,7 +138,7 @@ def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             names, score, _ = nearest(b.column(at).cast(pa.string()))
             yield b.filter(pa.array((np.array(names, object) != "und") & (score >= least), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(textscan.lean(run), docs.schema)
 
 
 def held_out(column) -> F.Column:

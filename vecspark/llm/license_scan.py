@@ -78,7 +78,7 @@ def frequencies(docs: DataFrame, text: str, vocabulary: list[str]) -> dict[str,
             total += np.bincount(k[ordered[k] == hashes], minlength=len(ordered))
         yield pa.RecordBatch.from_arrays([pa.array(order.astype(np.int32)), pa.array(total)], ["word", "n"])
 
-    counted = docs.select(docs[text].cast("string").alias("text")).mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n"))
+    counted = docs.select(docs[text].cast("string").alias("text")).mapInArrow(textscan.lean(run), "word int, n long").groupBy("word").agg(F.sum("n"))
     found = dict(counted.collect())  # one number for each word of the vocabulary
     return {w: found.get(i, 0) for i, w in enumerate(vocabulary)}
 
@@ -168,4 +168,4 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
             )
 
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long")
+    return picked.mapInArrow(textscan.lean(run), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, n_blocks long")

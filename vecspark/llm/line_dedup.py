@@ -85,7 +85,7 @@ def read_lines(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(part), pa.int64())
             yield pa.RecordBatch.from_arrays([none.cast(pa.binary()) if False else pa.nulls(len(part), pa.binary()), none.cast(pa.int32()), none, none, none.cast(pa.int32()), pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], ["node", "n", "doc_id", "text_key", "line", "slot", "n_slot"])
 
-    return docs.mapInArrow(run, LINES)
+    return docs.mapInArrow(textscan.lean(run), LINES)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -200,8 +200,8 @@ def links(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
             for x, y in candidates(p[new], num, den):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y).view(np.int64)), pa.array(np.maximum(x, y).view(np.int64))], ["a", "b"])
 
-    packed = docs.select("doc_id", "text").mapInArrow(post, "part int, postings binary").repartition(parts, "part")
-    pairs = write_table(spark, packed.mapInArrow(match, "a long, b long").distinct(), "pairs")
+    packed = docs.select("doc_id", "text").mapInArrow(textscan.lean(post), "part int, postings binary").repartition(parts, "part")
+    pairs = write_table(spark, packed.mapInArrow(textscan.lean(match), "a long, b long").distinct(), "pairs")
     short = F.conv(F.substring(F.hex("node"), 1, 16), 16, -10).cast("long")
     keyed = nodes.select("node", short.alias("short"), F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), F.col("first.text_key").alias("text_key"))
     ends = pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct()
@@ -221,7 +221,7 @@ def links(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
 
     right = by_text.withColumnRenamed("doc_id", "of_id").withColumnRenamed("text_key", "of_key")
     rows = docs.join(right, docs["doc_id"].eqNullSafe(right["of_id"]) & (docs["text_key"] == right["of_key"])).select("text", "wanted")
-    members = write_table(spark, rows.mapInArrow(extract, "node binary, members binary"), "members").dropDuplicates(["node"])
+    members = write_table(spark, rows.mapInArrow(textscan.lean(extract), "node binary, members binary"), "members").dropDuplicates(["node"])
     one = needed.select(F.col("short").alias("a"), F.col("node").alias("node_a"))
     two = needed.select(F.col("short").alias("b"), F.col("node").alias("node_b"))
     whole = pairs.join(one, "a").join(two, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
@@ -265,4 +265,4 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_
 
     joined = picked.join(info, picked["doc_id"].eqNullSafe(info["of_id"]) & (picked["text_key"] == info["of_key"]), "left")
     joined = joined.select("doc_id", "text", "gone", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return joined.mapInArrow(rebuild, "doc_id long, text string, n_lines long, n_removed long, n_links long, text_sha256 string")
+    return joined.mapInArrow(textscan.lean(rebuild), "doc_id long, text string, n_lines long, n_removed long, n_links long, text_sha256 string")

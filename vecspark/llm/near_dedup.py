@@ -5,10 +5,10 @@
    Bands of bins are hashed to bucket keys. Equal sets are one node from here on.
 2. In each bucket of two or more nodes, the smallest node is the hub and an edge goes to each other node (a star), so
    edges grow with the bucket and not with its square. Edges are confirmed on the full sets.
-3. What a star leaves open is settled in further rounds: nodes of a bucket that are not yet in one component get twice
-   as many hubs in each round, and hubs that had their turn leave. Nested hub sets make sure that each two nodes of a
-   bucket were compared or are connected when the rounds end, which they do after log2(bucket size) at the latest; a
-   bucket whose nodes are all connected ends at once.
+3. What a star leaves open is settled in further rounds: nodes of a bucket that are not yet in one component get eight
+   times as many hubs in each round, and hubs that had their turn leave. Nested hub sets make sure that each two nodes
+   of a bucket were compared or are connected when the rounds end, which they do after log8(bucket size) at the latest;
+   a bucket whose nodes are all connected ends at once. Two nodes are compared in the first bucket they share only.
 4. Components are found by alternating large-star and small-star steps, as joins; nothing is collected.
 
 Bands are chosen so that a pair at the threshold shares no bucket with a probability under 1e-6.
@@ -33,6 +33,8 @@ from vecspark.session import drop_table, read_table, save_table, ship, write_tab
 U64 = np.uint64
 #: Bins in a band; nodes that are broadcast at most (of 16 bytes and a doc_id: a few MB).
 ROWS, BROADCAST = 5, 100_000
+#: Times the hubs of the round before.
+GROWTH = 8
 ATTEMPTS = 32
 
 
@@ -119,7 +121,7 @@ def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, bands: int
 
     whole = docs[text].cast("string")
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("text_key"))
-    return picked.mapInArrow(run, "doc_id long, text_key long, n long, node binary, bands array<long>")
+    return picked.mapInArrow(textscan.lean(run), "doc_id long, text_key long, n long, node binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, doc_id: str, text: str, shingle: int, needed: DataFrame) -> DataFrame:
@@ -137,8 +139,8 @@ def full_sets(docs: DataFrame, doc_id: str, text: str, shingle: int, needed: Dat
             raw, at = hashes.astype("<u8").tobytes(), (cuts * 8).tolist()
             yield pa.RecordBatch.from_arrays([fixed(node_keys(hashes, cuts)), pa.array([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["node", "members"])
 
-    found = picked.select("text").mapInArrow(run, "node binary, members binary")
-    return write_table(spark, found, "sets").dropDuplicates(["node"])
+    found = picked.select("text").mapInArrow(textscan.lean(run), "node binary, members binary")
+    return write_table(spark, found.dropDuplicates(["node"]), "sets")  # repeated rows
 
 
 def confirmed(pairs: DataFrame, members: DataFrame, at_least: tuple[int, int]) -> DataFrame:
@@ -157,8 +159,13 @@ def confirmed(pairs: DataFrame, members: DataFrame, at_least: tuple[int, int]) -
 
     one = members.select(F.col("node").alias("a"), F.col("members").alias("xs"))
     two = members.select(F.col("node").alias("b"), F.col("members").alias("ys"))
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "xs", "ys")
-    return joined.mapInArrow(run, "a binary, b binary")
+    joined = one.join(small(pairs.select("a", "b")), "a").join(two, "b").select("a", "b", "xs", "ys")
+    return joined.mapInArrow(textscan.lean(run), "a binary, b binary")
+
+
+def small(df: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """df, to be broadcast if it has at most ``most`` rows (of two nodes: a few MB); else it is shuffled."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -166,62 +173,68 @@ def components(edges: DataFrame) -> DataFrame:
     spark = edges.sparkSession
     edges = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct()
     path = save_table(spark, edges, "edges")
-    edges, before = read_table(spark, path, edges), None
-    while True:
+    edges = read_table(spark, path, edges)
+    while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.join(lows, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u > v").distinct()
+        few = edges.limit(BROADCAST + 1).count() <= BROADCAST
+        large = both.join(F.broadcast(lows) if few else lows, "u").filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u > v")
         low = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))).alias("e"))
-        after = small.select("e.u", "e.v").filter("u > v").distinct()
+        joined = large.join(F.broadcast(low) if few else low, "u")
+        after = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))).alias("e"))
+        after = after.select("e.u", "e.v").filter("u > v").distinct()
         new = save_table(spark, after, "edges")
         edges = read_table(spark, new, after)
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         drop_table(spark, path)
         path = new
-        if state == before or not state[0]:
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("e")).select("e.x", "e.up")
+        roles = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+        if not roles.filter("ups > 1 or (ups > 0 and low = 0)").limit(1).count():  # stars: each edge ends in a root
             break
-        before = state
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
-def linked(buckets: DataFrame, members: DataFrame, at_least: tuple[int, int]) -> DataFrame | None:
-    """(node, comp) of all nodes that have a link; buckets: (key, node, n, size), members: (node, members)."""
+def linked(buckets: DataFrame, members: DataFrame, at_least: tuple[int, int]) -> DataFrame:
+    """(node, comp) of all nodes that have a link; buckets: (key, node, n, before, size), members: (node, members).
+
+    before: the keys of the node's bands before this one.
+    """
     spark = buckets.sparkSession
     num, den = at_least
     close = (F.col("n_a") * den >= F.col("n_b") * num) & (F.col("n_b") * den >= F.col("n_a") * num)
+    new_here = ~F.arrays_overlap("before_a", "before_b")
     share = F.conv(F.substring(F.hex("node"), 1, 12), 16, 10).cast("double") / float(1 << 48)
     labels: DataFrame | None = None
     live, turn = buckets.withColumn("share", share), 0
     while True:
+        most = GROWTH**turn  # hubs of a bucket, about
         if turn == 0:
             hubs = live.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub")).select("key", F.col("hub.node").alias("a"), F.col("hub.n").alias("n_a"))
             own = live.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"))
             pairs = hubs.join(own, "key").filter((F.col("a") < F.col("b")) & close)
         else:
-            hub = F.col("share") < (1 << turn) / F.col("size")
-            hubs = live.filter(hub).select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"))
-            own = live.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), hub.alias("hub_b"))
-            pairs = hubs.join(own, "key").filter((F.col("comp_a") != F.col("comp_b")) & close & (~F.col("hub_b") | (F.col("a") < F.col("b"))))
-        new = write_table(spark, confirmed(pairs.select("a", "b").distinct(), members, at_least), "links")
+            hub = F.col("share") < most / F.col("size")
+            hubs = live.filter(hub).select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), F.col("before").alias("before_a"))
+            own = live.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("before").alias("before_b"), hub.alias("hub_b"))
+            pairs = hubs.join(own, "key").filter((F.col("comp_a") != F.col("comp_b")) & close & (~F.col("hub_b") | (F.col("a") < F.col("b"))) & new_here)
+        pairs = write_table(spark, pairs.select("a", "b").distinct(), "candidates")
+        new = write_table(spark, confirmed(pairs, members, at_least), "links")
         if labels is None:
             labels = write_table(spark, components(new), "labels")
         elif new.limit(1).count():
-            to = labels.select(F.col("node"), F.col("comp"))
-            ends = new
+            ends, to = new, small(labels)
             for c in ("a", "b"):
                 ends = ends.join(to.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}")), c, "left").withColumn(c, F.coalesce(f"comp_{c}", c)).drop(f"comp_{c}")
             moved = components(ends).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-            moved = write_table(spark, moved, "moves")
+            moved = small(write_table(spark, moved, "moves"))
             old = labels.join(moved, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
             fresh = moved.select(F.col("comp").alias("node"), F.col("to").alias("comp"))
             labels = write_table(spark, old.unionByName(fresh).groupBy("node").agg(F.min("comp").alias("comp")), "labels")
         if turn == 0:
-            least = live.groupBy("key").agg(F.min("node").alias("hub"))
-            rest = live.join(least, "key").filter("node != hub").drop("hub")
+            rest = live.join(hubs.select("key", F.col("a").alias("hub")), "key").filter("node != hub").drop("hub")
         else:
-            rest = live.filter(F.col("share") >= (1 << turn) / F.col("size")).drop("comp")
-        rest = rest.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            rest = live.filter(F.col("share") >= most / F.col("size")).drop("comp")
+        rest = rest.join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         open_keys = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
         live = write_table(spark, rest.join(open_keys, "key", "left_semi"), "live")
         turn += 1
@@ -245,7 +258,11 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = nodes.select("node", F.col("any.doc_id").alias("any_id"), F.col("any.text_key").alias("any_key"), "n", "bands")
     entries = nodes.select(F.explode("bands").alias("key"), "node", "n")
     shared = entries.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    buckets = write_table(spark, entries.join(shared, "key"), "buckets")
+    met = write_table(spark, entries.join(shared, "key"), "met")
+    names = met.select("node").distinct().withColumn("met", F.lit(True))
+    all_bands = nodes.join(small(names), "node").select("node", "bands")
+    buckets = met.join(all_bands, "node").withColumn("before", F.expr("slice(bands, 1, array_position(bands, key) - 1)")).drop("bands")
+    buckets = write_table(spark, buckets, "buckets")
     ids = full.groupBy("node").agg(F.min("doc_id").alias("low"))
     out = signed.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node")
     if buckets.limit(1).count():

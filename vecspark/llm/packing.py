@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text
                 ["doc_id", "piece", "start", "length", "ids_crc32", "run", "own_rank"],
             )
 
-    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(textscan.lean(run), PIECES)
 
 
 def best_configuration(sizes: list[int], values: np.ndarray, capacity: int, most: int) -> tuple[float, list[int]]:
@@ -248,4 +248,4 @@ def pack(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(at[k, 3] + rank - at[k, 1]), pa.array(at[k, 4])], [*b.schema.names[:5], "sequence_id", "offset"])
 
     ranked = cut.join(before, ["run", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("own_rank")).alias("rank"))
-    return ranked.mapInArrow(run, PACKED)
+    return ranked.mapInArrow(textscan.lean(run), PACKED)

@@ -165,7 +165,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
         yield pa.RecordBatch.from_pydict({"votes": pa.array(list(total), pa.int64()), "n": pa.array(list(total.values()), pa.int64())})
 
     texts = docs.select(docs[text].cast("string").alias("text"))
-    counts = dict(texts.mapInArrow(count, "votes long, n long").groupBy("votes").agg(F.sum("n")).collect())
+    counts = dict(texts.mapInArrow(textscan.lean(count), "votes long, n long").groupBy("votes").agg(F.sum("n")).collect())
     posterior = posteriors(counts)
     ids = docs.select(docs[doc_id].cast("long").alias("sample_id")).orderBy(F.xxhash64("sample_id"), "sample_id").limit(sample)
     picked = F.broadcast(spark.createDataFrame([(x,) for x in {r[0] for r in ids.collect()}], "sample_id long"))
@@ -177,7 +177,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
             packed = [np.stack([columns[x:y].astype("<f4"), values[x:y].astype("<f4")]).tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cast), pa.array(packed, pa.binary())], ["sample_id", "votes", "features"])
 
-    own = sorted(tuple(r.values()) for r in rows.select("sample_id", "text").mapInArrow(extract, "sample_id long, votes long, features binary").toArrow().to_pylist())[: 2 * sample]
+    own = sorted(tuple(r.values()) for r in rows.select("sample_id", "text").mapInArrow(textscan.lean(extract), "sample_id long, votes long, features binary").toArrow().to_pylist())[: 2 * sample]
     y = np.array([posterior[v] for _, v, _ in own])
     if len(y) < 2 or y.max() < 0.5 or y.min() > 0.5:
         return posterior, None, 0.0
@@ -217,7 +217,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(quality), pa.array(own), pa.array(quality >= 0.5)], ["doc_id", "quality", "posterior", "good"])
 
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, quality double, posterior double, good boolean")
+    return picked.mapInArrow(textscan.lean(run), "doc_id long, quality double, posterior double, good boolean")
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
@@ -229,7 +229,7 @@ def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for b in batches:
             yield b.filter(pa.array(rate(b.column(at).cast(pa.string()))[0] >= least, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(textscan.lean(run), docs.schema)
 
 
 def classify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> DataFrame:

@@ -50,7 +50,7 @@ def quantised(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataF
 
     picked = vectors.select(F.monotonically_increasing_id().alias("row"), vectors[vec_id].cast("long").alias("vec_id"), vectors[vector].cast("array<double>").alias("v"))
     picked = picked.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", F.isnull))
-    return picked.mapInArrow(run, "row long, vec_id long, v binary").filter("v is not null")
+    return picked.mapInArrow(textscan.lean(run), "row long, vec_id long, v binary").filter("v is not null")
 
 
 def statistics(x: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +152,7 @@ def top_k(vectors: DataFrame, is_query, vec_id: str = "vec_id", vector: str = "e
                 q, score, found, _ = searches[d].found
                 yield pa.RecordBatch.from_arrays([pa.array(rows[q]), pa.array(ids[q]), pa.array(found), pa.array(score)], ["query_row", "query_id", "vec_id", "score"])
 
-        part = all_rows.mapInArrow(run, "query_row long, query_id long, vec_id long, score long")
+        part = all_rows.mapInArrow(textscan.lean(run), "query_row long, query_id long, vec_id long, score long")
         out = part if out is None else out.unionByName(part)
     place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -80,7 +80,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             raw, at = columns.astype("<u4").tobytes(), (cuts * 4).tolist()
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["label_id", "label", "features"])
 
-    table = rows.select(docs[text].cast("string").alias("text"), "label_id", "label").mapInArrow(run, "label_id long, label int, features binary").toArrow()
+    table = rows.select(docs[text].cast("string").alias("text"), "label_id", "label").mapInArrow(textscan.lean(run), "label_id long, label int, features binary").toArrow()
     own = sorted(zip(table["label_id"].to_pylist(), table["label"].to_pylist(), table["features"].to_pylist(), strict=True))
     y = np.array([r[1] for r in own], float)
     if not 0 < y.sum() < len(y):
@@ -112,7 +112,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], doc_id: str = "doc_i
             total = np.concatenate([[0], np.cumsum(weights[columns], dtype=np.float64)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(linear.sigmoid(np.diff(total[cuts]) + intercept))], ["doc_id", "score"])
 
-    found = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(run, "doc_id long, score double")
+    found = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text")).mapInArrow(textscan.lean(run), "doc_id long, score double")
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
