@@ -43,14 +43,14 @@ def cosine(a: Column, b: Column) -> Column:
     return same_size(a, b, F.when((na <= 0) | (nb <= 0), F.lit(2.0)).otherwise(1.0 - share))
 
 
-@F.pandas_udf("double")
-def _bits_apart(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([float(np.bitwise_count(np.asarray(x, "<f4").view("u4") ^ np.asarray(y, "<f4").view("u4")).sum()) for x, y in zip(a, b, strict=True)])
-
-
 def hamming(a: Column, b: Column) -> Column:
     """The bits in which the 32-bit floats differ. Spark has no access to a float's bits, so this is an Arrow kernel."""
-    return same_size(a, b, _bits_apart(a, b))
+
+    @F.pandas_udf("double")
+    def apart(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([float(np.bitwise_count(np.asarray(x, "<f4").view("u4") ^ np.asarray(y, "<f4").view("u4")).sum()) for x, y in zip(a, b, strict=True)])
+
+    return same_size(a, b, apart(a, b))
 
 
 COLUMNS: dict[str, Callable[[Column, Column], Column]] = {"L2": l2, "IP": inner_product, "COSINE": cosine, "HAMMING": hamming}

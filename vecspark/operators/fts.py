@@ -15,6 +15,10 @@ from vecspark.functions.analyzers import ANALYZERS, Analyzer
 K1, B = 1.5, 0.75
 
 
+def occurrences(term: str):
+    return F.size(F.filter("terms", lambda t: t == term))
+
+
 class FtsIndex:
     """Documents (id, text) under an analyzer. Nulls are no documents; of an id that occurs twice, use upsert first."""
 
@@ -64,7 +68,7 @@ class FtsIndex:
         asked = self.query_terms(query)
         terms = sorted(set(asked))
         own = self.documents.select("doc_id", "content", self.analyze(F.col("content")).alias("terms"))
-        own = own.select("doc_id", "content", F.size("terms").alias("length"), *[F.size(F.filter("terms", lambda t, w=w: t == w)).alias(f"tf_{i}") for i, w in enumerate(terms)])
+        own = own.select("doc_id", "content", F.size("terms").alias("length"), *[occurrences(w).alias(f"tf_{i}") for i, w in enumerate(terms)])
         if not terms:
             return own.select("doc_id", F.lit(0.0).alias("score"), "content").limit(0)
         stats = own.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"), *[F.sum((F.col(f"tf_{i}") > 0).cast("long")).alias(f"df_{i}") for i in range(len(terms))]).first()  # one row

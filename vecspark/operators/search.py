@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vecspark.functions import distance
 from vecspark.plans.filters import Filter, matching
@@ -62,7 +64,8 @@ def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: str = "L2",
     ship(spark)
     own = matching(points, where, payload).select(points[id_col].alias("id"), points[vector_col].alias("vector"))
     id_type, query_type = points.schema[id_col].dataType, queries.schema[query_id].dataType
-    schema = f"query_id {query_type.simpleString()}, id {id_type.simpleString()}, score double"
+    schema = T.StructType([T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
     n = queries.count() if k > 0 else 0
     parts = max(1, -(-n // chunk))
     out = None
@@ -96,7 +99,7 @@ def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: str = "L2",
                 order = order[np.arange(len(order)) - first[all_q[order]] < k]
                 held_id, held_q, held = [all_id[i] for i in order.tolist()], all_q[order], all_s[order]
             frame = pa.table({"query_id": [names[i] for i in held_q.tolist()], "id": held_id, "score": held})
-            yield from frame.cast(_arrow(schema)).to_batches()
+            yield from frame.cast(arrow).to_batches()
 
         found = own.mapInArrow(best, schema)
         out = found if out is None else out.unionByName(found)
@@ -104,13 +107,6 @@ def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: str = "L2",
     return out.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
 
 
-def _arrow(schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
-
-
 def hydrate(found: DataFrame, points: DataFrame, id_col: str = "id", columns: Sequence[str] = ()) -> DataFrame:
     """Adds payload columns to search results by id."""
     return found.join(points.select(F.col(id_col).alias("id"), *columns), "id")
