@@ -207,8 +207,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 48,
         while left[length]:
             at = bisect_left(spaces, length)
             if at == len(spaces):
-                open_range(capacity, sequences, left[length])
-                sequences += left[length]
+                fresh = -(-left[length] // (capacity // length))
+                open_range(capacity, sequences, fresh)
+                sequences += fresh
                 continue
             space = spaces[at]
             start, n = free[space].pop()
