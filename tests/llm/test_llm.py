@@ -307,7 +307,7 @@ def test_packing_odd_texts(odd, empty, reference):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 300), max_size=30), st.integers(1, 12))
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 300), max_size=30), st.integers(12, 48))
 def test_plans_are_whole_and_good(histogram, groups):
     table = packing.plan(histogram, 64, groups)
     fill = collections.defaultdict(list)

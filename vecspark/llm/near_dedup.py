@@ -8,7 +8,9 @@
 3. What a star leaves open is settled in further rounds: nodes of a bucket that are not yet in one component get eight
    times as many hubs in each round, and hubs that had their turn leave. Nested hub sets make sure that each two nodes
    of a bucket were compared or are connected when the rounds end, which they do after log8(bucket size) at the latest;
-   a bucket whose nodes are all connected ends at once. Two nodes are compared in the first bucket they share only.
+   a bucket whose nodes are all connected ends at once. Two nodes are compared in the first bucket they share only, and
+   only if the shingles that each shares with any node still open are enough to reach the threshold: the shingles that
+   one node alone has bound its similarity to all others from above, so heavily edited copies drop out without pairs.
 4. Components are found by alternating large-star and small-star steps, as joins; nothing is collected.
 
 Bands are chosen so that a pair at the threshold shares no bucket with a probability under 1e-6.
@@ -194,6 +196,29 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
 
 
+def open_keys(live: DataFrame) -> DataFrame:
+    """The buckets whose nodes are in more than one component."""
+    return live.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
+
+
+def shared_sizes(live: DataFrame, members: DataFrame) -> DataFrame:
+    """(node, alone): how many shingles each live node has that no other live node has (no row for none)."""
+    nodes = small(live.select("node").distinct())
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            own = [np.frombuffer(x.as_buffer(), "<u8") for x in b.column(1)]
+            owner = np.repeat(np.arange(len(own)), [len(x) for x in own])
+            values, first, count = np.unique(np.concatenate(own), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(count, 2).astype(np.int64)), b.column(0).take(pa.array(owner[first]))], ["shingle", "n", "node"])
+
+    met = members.join(nodes, "node", "left_semi").select("node", "members").mapInArrow(textscan.lean(run), "shingle long, n long, node binary")
+    once = met.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("node").alias("node")).filter("n = 1")
+    return once.groupBy("node").agg(F.count("*").alias("alone"))
+
+
 def linked(buckets: DataFrame, members: DataFrame, at_least: tuple[int, int]) -> DataFrame:
     """(node, comp) of all nodes that have a link; buckets: (key, node, n, before, size), members: (node, members).
 
@@ -214,9 +239,9 @@ def linked(buckets: DataFrame, members: DataFrame, at_least: tuple[int, int]) ->
             pairs = hubs.join(own, "key").filter((F.col("a") < F.col("b")) & close)
         else:
             hub = F.col("share") < most / F.col("size")
-            hubs = live.filter(hub).select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), F.col("before").alias("before_a"))
-            own = live.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("before").alias("before_b"), hub.alias("hub_b"))
-            pairs = hubs.join(own, "key").filter((F.col("comp_a") != F.col("comp_b")) & close & (~F.col("hub_b") | (F.col("a") < F.col("b"))) & new_here)
+            hubs = live.filter(hub).select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), F.col("before").alias("before_a"), F.col("rest").alias("rest_a"))
+            own = live.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("before").alias("before_b"), F.col("rest").alias("rest_b"), hub.alias("hub_b"))
+            pairs = hubs.join(own, "key").filter((F.col("comp_a") != F.col("comp_b")) & close & (~F.col("hub_b") | (F.col("a") < F.col("b"))) & (F.least("rest_a", "rest_b") * (num + den) >= (F.col("n_a") + F.col("n_b")) * num) & new_here)
         pairs = write_table(spark, pairs.select("a", "b").distinct(), "candidates")
         new = write_table(spark, confirmed(pairs, members, at_least), "links")
         if labels is None:
@@ -235,8 +260,12 @@ def linked(buckets: DataFrame, members: DataFrame, at_least: tuple[int, int]) ->
         else:
             rest = live.filter(F.col("share") >= most / F.col("size")).drop("comp")
         rest = rest.join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        open_keys = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high").select("key")
-        live = write_table(spark, rest.join(open_keys, "key", "left_semi"), "live")
+        live = write_table(spark, rest.join(open_keys(rest), "key", "left_semi"), "live")
+        if turn == 0 and live.limit(1).count():
+            alone = small(write_table(spark, shared_sizes(live, members), "alone"))
+            rest = live.join(alone, "node", "left").withColumn("rest", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+            rest = rest.filter(F.col("rest") * den >= F.col("n") * num)
+            live = write_table(spark, rest.join(open_keys(rest), "key", "left_semi"), "live")
         turn += 1
         if not live.limit(1).count():
             return labels

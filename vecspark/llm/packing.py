@@ -3,8 +3,8 @@
 Every document becomes token ids plus an end id and, only if longer than a sequence, is cut into pieces. The plan is
 made from the histogram of piece lengths, which has at most ``capacity`` entries whatever the input:
 
-1. Large lengths (over ``small``) are sorted and dealt into groups of equal cardinality; each counts as its group's
-   largest length.
+1. Large lengths (over ``small``) are sorted and dealt into groups of equal cardinality, as far as whole lengths allow;
+   each counts as its group's largest length.
 2. With so few sizes, the configurations (multisets of sizes that fit one sequence) are optimised: a linear program,
    solved by column generation (the dual prices new configurations as a knapsack), rounded down.
 3. Actual lengths take the places of the rounded ones, largest first.
@@ -155,7 +155,7 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, small: in
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 48, small: int | None = None) -> np.ndarray:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 32, small: int | None = None) -> np.ndarray:
     """Placements, one a row: length, first rank, number of pieces, first sequence, offset. Ordered by length, rank."""
     small = capacity // 8 if small is None else small
     left = {n: c for n, c in histogram.items() if c}
@@ -182,7 +182,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = 48,
     if total:
         each, held = -(-total // groups), 0
         for n in large:
-            if not members or held >= each:
+            if not members or held + left[n] > each:  # a length stays whole; a frequent one is a group of its own
                 members.append([])
                 held = 0
             members[-1].append(n)
