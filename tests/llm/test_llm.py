@@ -351,8 +351,10 @@ def test_line_dedup(spark, odd, empty, monkeypatch):
 
     rows = [(i, "\n".join(line() for _ in range(rng.randrange(6)))) for i in range(120)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    for frequent in (1000, 4):  # the second makes most tokens frequent: keys are pairs
+    for frequent, best, held in ((1000, 4, 10**6), (4, 1, 10)):  # the second makes most keys pairs, and needs the second pass
         monkeypatch.setattr(line_dedup, "FREQUENT", frequent)
+        monkeypatch.setattr(line_dedup, "BEST", best)
+        monkeypatch.setattr(line_dedup, "HELD", held)
         got = {r.doc_id: (r.n_removed, r.text_sha256) for r in line_dedup.dedup_lines(df).collect()}
         assert got == brute_lines(rows)
     assert line_dedup.dedup_lines(odd).count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0

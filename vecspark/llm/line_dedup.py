@@ -13,10 +13,14 @@ words stay. The join, for a line of n tokens ordered by rarity in the corpus, ra
    single keys are rare by construction and frequent ones are split by a second token.
 4. Length filter (sizes within a factor t) and positional filter (what can follow the first common token), then a
    bitmap filter (64 bits of each set bound the overlap from above), all on packed arrays, sorted by key and size.
-5. Candidates are verified on the full token sets.
+5. Of a line's earlier candidates, each task keeps the BEST most alike by bitmap. The best of all is verified on the
+   full token sets, then the others of lines without a match; lines that still have none and had more candidates are
+   matched with all of them in a second pass. So one match settles a line, groups of near copies make no pairs in
+   square, and no line is left undecided.
 
 Up to three tokens a match means equal sets. Postings of lines that occur very often come from their first occurrence
-alone. Nulls count as empty texts; rows equal in doc_id and text are treated alike; other columns are ignored.
+alone. Nulls count as empty texts; a null doc_id comes first; rows equal in doc_id and text are treated alike; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,14 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.llm import textscan
-from vecspark.llm.near_dedup import confirmed, fixed, node_keys
+from vecspark.llm.near_dedup import fixed, node_keys, small
 from vecspark.session import ship, write_table
 
 #: log2 of the rarity table's size; a level from which on a token is frequent; nodes named as frequent at most.
 SLOTS, FREQUENT, NAMED = 24, 1000, 100_000
-BROADCAST = 100_000
+#: Candidates of a line that a task keeps; pairs held before they are thinned; lines of a slice of the second pass.
+BEST, HELD, SLICE = 4, 2_000_000, 100_000
 U64 = np.uint64
-POSTING = np.dtype([("key", "<u8"), ("node", "<u8"), ("bits", "<u8"), ("n", "<u4"), ("at", "<u4")])
+POSTING = np.dtype([("key", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("tag", "<u4"), ("n", "<u4"), ("at", "<u2")])
+LINE = ["doc", "line", "tag"]
 
 
 def lines_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,29 +69,29 @@ def slots(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> U64(64 - SLOTS)).astype(np.int64)
 
 
-LINES = "node binary, n int, doc_id long, text_key long, line int, slot int, n_slot long"
+LINES = "node binary, doc long, tag long, line int, slot int, n_slot long"
 
 
 def read_lines(docs: DataFrame) -> DataFrame:
     """A row for each line with words, and at the end of each task its counts by slot."""
+    names = ["node", "doc", "tag", "line", "slot", "n_slot"]
 
     def run(batches):
         total = np.zeros(1 << SLOTS, np.uint32)
         for b in batches:
-            tokens, cuts, text, line = lines_of(b.column(1))
-            total += np.bincount(slots(tokens), minlength=1 << SLOTS).astype(np.uint32) if len(tokens) > 1 << 18 else 0
-            if len(tokens) <= 1 << 18:
-                np.add.at(total, slots(tokens), 1)
+            tokens, cuts, text, line = lines_of(b.column(2))
+            if len(tokens):
+                used, n = np.unique(slots(tokens), return_counts=True)
+                total[used] += n.astype(np.uint32)
             own = pa.array(text)
-            none = pa.nulls(len(text), pa.int32())
-            yield pa.RecordBatch.from_arrays([fixed(node_keys(tokens, cuts)), pa.array(np.diff(cuts).astype(np.int32)), b.column(0).take(own), b.column(2).take(own), pa.array(line.astype(np.int32)), none, none.cast(pa.int64())], ["node", "n", "doc_id", "text_key", "line", "slot", "n_slot"])
+            yield pa.RecordBatch.from_arrays([fixed(node_keys(tokens, cuts)), b.column(0).take(own), b.column(1).take(own), pa.array(line.astype(np.int32)), pa.nulls(len(text), pa.int32()), pa.nulls(len(text), pa.int64())], names)
         used = np.flatnonzero(total)
         for a in range(0, len(used), 100_000):
             part = used[a : a + 100_000]
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none.cast(pa.binary()) if False else pa.nulls(len(part), pa.binary()), none.cast(pa.int32()), none, none, none.cast(pa.int32()), pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], ["node", "n", "doc_id", "text_key", "line", "slot", "n_slot"])
+            n = len(part)
+            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], names)
 
-    return docs.mapInArrow(textscan.lean(run), LINES)
+    return docs.select("doc", "tag", "text").mapInArrow(textscan.lean(run), LINES)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -125,9 +131,9 @@ def bitmaps(tokens: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduceat(U64(1) << (tokens & U64(63)), cuts[:-1])
 
 
-def candidates(p: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of packed postings that pass the filters; p is sorted by key and n."""
-    key, node, bits, n, at = (p[name] for name in ("key", "node", "bits", "n", "at"))
+def candidates(p: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of packed postings that pass the filters, and their bits apart; p is sorted by key and n."""
+    key, bits, n, at = (p[name] for name in ("key", "bits", "n", "at"))
     n, at = n.astype(np.int64), at.astype(np.int64)
     live, gap = np.arange(len(p)), 1
     while True:
@@ -139,130 +145,198 @@ def candidates(p: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray,
             return
         a, b = n[live], n[other]
         need = -(-num * (a + b) // (num + den))
-        follow = 1 + np.minimum(a - at[live], b - at[other]) - 1
-        good = (follow >= need) & (node[live] != node[other])
+        good = np.minimum(a - at[live], b - at[other]) >= need
         x, y = live[good], other[good]
         apart = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)
         close = (n[x] + n[y] - apart) // 2 >= need[good]
         if close.any():
-            yield node[x[close]], node[y[close]]
+            yield x[close], y[close], apart[close]
         gap += 1
 
 
-def links(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs of nodes (16 bytes each) with a Jaccard similarity of at least num / den. docs: doc_id, text, text_key."""
+def thinned(later: np.ndarray, earlier: np.ndarray, apart: np.ndarray, more: np.ndarray, best: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, and of each later line the best; more: gets marks for lines that lose candidates."""
+    order = np.lexsort((earlier, apart, later))
+    later, earlier, apart = later[order], earlier[order], apart[order]
+    new = np.ones(len(later), bool)
+    new[1:] = (later[1:] != later[:-1]) | (earlier[1:] != earlier[:-1])
+    later, earlier, apart = later[new], earlier[new], apart[new]
+    if best is None:
+        return later, earlier, apart
+    first = np.flatnonzero(np.diff(later, prepend=-1))
+    place = np.arange(len(later)) - np.repeat(first, np.diff(first, append=len(later)))
+    more[later[place >= best]] = True
+    keep = place < best
+    return later[keep], earlier[keep], apart[keep]
+
+
+PAIRS = "doc long, line int, tag long, of_doc long, of_line int, of_tag long, apart int, whole boolean"
+
+
+def matched(postings: DataFrame, num: int, den: int, best: int | None, only=None) -> DataFrame:
+    """Pairs of a line and an earlier candidate; whole: whether all candidates of the line in this task are given.
+
+    only: a broadcast array of lines (doc, line, tag) to find candidates for.
+    """
+
+    def run(batches):
+        held: dict[int, list[bytes]] = {}
+        for b in batches:
+            for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held.setdefault(k, []).append(raw.as_py())
+        for k in list(held):
+            p = np.frombuffer(b"".join(held.pop(k)), POSTING)
+            p = p[np.lexsort((p["n"], p["key"]))]
+            order = np.lexsort((p["tag"], p["line"], p["doc"]))
+            own = p[LINE][order]
+            new = np.ones(len(p), bool)
+            new[1:] = own[1:] != own[:-1]
+            names = own[new]
+            number = np.empty(len(p), np.int64)
+            number[order] = np.cumsum(new) - 1
+            wanted = np.ones(len(names), bool) if only is None else np.isin(names, only.value)
+            more = np.zeros(len(names), bool)
+            none = np.zeros(0, np.int64)
+            later, earlier, apart, fresh = none, none, none, []
+            for x, y, d in candidates(p, num, den):
+                a, b = np.maximum(number[x], number[y]), np.minimum(number[x], number[y])
+                keep = (a != b) & wanted[a]
+                fresh.append((a[keep], b[keep], d[keep]))
+                if sum(len(f[0]) for f in fresh) > HELD:
+                    later, earlier, apart = thinned(*(np.concatenate([o, *f]) for o, f in zip((later, earlier, apart), zip(*fresh, strict=True), strict=True)), more, best)
+                    fresh = []
+            if fresh:
+                later, earlier, apart = thinned(*(np.concatenate([o, *f]) for o, f in zip((later, earlier, apart), zip(*fresh, strict=True), strict=True)), more, best)
+            columns = [names[at][c].astype(t) for at in (later, earlier) for c, t in zip(LINE, (np.int64, np.int32, np.int64), strict=True)]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(apart.astype(np.int32)), pa.array(~more[later])], ["doc", "line", "tag", "of_doc", "of_line", "of_tag", "apart", "whole"])
+
+    return postings.mapInArrow(textscan.lean(run), PAIRS)
+
+
+def verified(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """The lines (doc, line, tag) of the pairs whose full sets are similar enough."""
+
+    def run(batches):
+        for b in batches:
+            good = np.zeros(len(b), bool)
+            for i, (x, y) in enumerate(zip(b.column(3), b.column(4), strict=True)):
+                both = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")]))
+                shared = int((both[1:] == both[:-1]).sum())
+                good[i] = den * shared >= num * (len(both) - shared)
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(good)) for k in range(3)], LINE)
+
+    of = members.select(F.col("doc").alias("of_doc"), F.col("line").alias("of_line"), F.col("tag").alias("of_tag"), F.col("members").alias("ys"))
+    joined = members.join(small(pairs.select(*LINE, "of_doc", "of_line", "of_tag")), LINE).join(of, ["of_doc", "of_line", "of_tag"])
+    return joined.select(*LINE, "members", "ys").mapInArrow(textscan.lean(run), "doc long, line int, tag long").distinct()
+
+
+def later_lines(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
+    """The lines (doc, line, tag) that have an earlier line of similar tokens. docs: doc, tag, text."""
     spark = docs.sparkSession
     sums = lines.filter("slot is not null").groupBy("slot").agg(F.sum("n_slot").alias("n")).filter("n > 1").toArrow()  # at most 2 ** SLOTS rows
     counts = np.ones(1 << SLOTS, np.int64)
     counts[sums["slot"].to_numpy()] = sums["n"].to_numpy()
     rarity = spark.sparkContext.broadcast(levels(counts))  # 16 MB, whatever the input
-    nodes = lines.filter("slot is null").groupBy("node").agg(F.min(F.struct("doc_id", "line", "text_key")).alias("first"), F.first("n").alias("n"), F.count("*").alias("times"))
-    nodes = write_table(spark, nodes, "nodes")
     total = lines.filter("slot is null").count()
-    often = nodes.filter(F.col("times") > max(2, total // NAMED)).select("node", "first.doc_id", "first.line").toArrow()  # at most NAMED rows
-    named = spark.sparkContext.broadcast({bytes(k): (d, x) for k, d, x in zip(often["node"].to_pylist(), often["doc_id"].to_pylist(), often["line"].to_pylist(), strict=True)})
+    common = lines.filter("slot is null").groupBy("node").agg(F.min(F.struct("doc", "line", "tag")).alias("first"), F.count("*").alias("times")).filter(F.col("times") > max(2, total // NAMED))
+    often = common.select("node", "first.doc", "first.line", "first.tag").toArrow().to_pylist()  # at most NAMED rows
+    named = spark.sparkContext.broadcast({bytes(r["node"]): (r["doc"], r["line"], r["tag"]) for r in often})
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     frequent = int(levels(np.array([FREQUENT]))[0])
 
     def post(batches):
         first = named.value
         for b in batches:
-            tokens, cuts, text, line = lines_of(b.column(1))
+            tokens, cuts, text, line = lines_of(b.column(2))
             if not len(tokens):
                 continue
-            node = node_keys(tokens, cuts)
-            ids = b.column(0).to_pylist()
-            use = np.array([(place := first.get(k)) is None or place == (ids[t], x) for k, t, x in zip(node.tolist(), text.tolist(), line.tolist(), strict=True)], bool)
+            doc, tag = b.column(0).to_numpy(), b.column(1).to_numpy()
             rows, keys, at = keys_of(tokens, cuts, rarity.value, num, den, frequent)
-            keep = use[rows]
-            rows, keys, at = rows[keep], keys[keep], at[keep]
-            out = np.empty(len(rows), POSTING)
-            out["key"], out["n"], out["at"] = keys, np.diff(cuts)[rows], at
-            out["node"], out["bits"] = node.view(">u8").reshape(-1, 2)[rows, 0], bitmaps(tokens, cuts)[rows]
+            if first:
+                places = [first.get(k) for k in node_keys(tokens, cuts).tolist()]
+                use = np.array([f is None or f == (doc[t], x, tag[t]) for f, t, x in zip(places, text.tolist(), line.tolist(), strict=True)], bool)
+                rows, keys, at = rows[use[rows]], keys[use[rows]], at[use[rows]]
             part = (keys >> U64(20)) % U64(parts)
             order = np.argsort(part, kind="stable")
+            rows, out = rows[order], np.empty(len(rows), POSTING)
+            out["key"], out["n"], out["at"] = keys[order], np.diff(cuts)[rows], np.minimum(at[order], 65535)
+            out["bits"], out["doc"], out["line"], out["tag"] = bitmaps(tokens, cuts)[rows], doc[text[rows]], line[rows], tag[text[rows]]
             where = np.searchsorted(part[order], np.arange(parts + 1, dtype=U64)).tolist()
-            raw = out[order].tobytes()
-            size = POSTING.itemsize
+            raw, size = out.tobytes(), POSTING.itemsize
             full = [k for k in range(parts) if where[k + 1] > where[k]]
             yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([raw[where[k] * size : where[k + 1] * size] for k in full], pa.binary())], ["part", "postings"])
 
-    def match(batches):
-        held: dict[int, list[bytes]] = {}
-        for b in batches:
-            for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held.setdefault(k, []).append(raw.as_py())
-        for k in list(held):
-            p = np.frombuffer(b"".join(held.pop(k)), POSTING)
-            p = p[np.lexsort((p["node"], p["n"], p["key"]))]
-            new = np.ones(len(p), bool)
-            new[1:] = (p["key"][1:] != p["key"][:-1]) | (p["node"][1:] != p["node"][:-1])
-            for x, y in candidates(p[new], num, den):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y).view(np.int64)), pa.array(np.maximum(x, y).view(np.int64))], ["a", "b"])
-
-    packed = docs.select("doc_id", "text").mapInArrow(textscan.lean(post), "part int, postings binary").repartition(parts, "part")
-    pairs = write_table(spark, packed.mapInArrow(textscan.lean(match), "a long, b long").distinct(), "pairs")
-    short = F.conv(F.substring(F.hex("node"), 1, 16), 16, -10).cast("long")
-    keyed = nodes.select("node", short.alias("short"), F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line"), F.col("first.text_key").alias("text_key"))
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct()
-    needed = write_table(spark, keyed.join(ends, "short"), "needed")
-    by_text = needed.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("wanted"))
-    if needed.limit(BROADCAST + 1).count() <= BROADCAST:
-        by_text = F.broadcast(by_text)
-
-    def extract(batches):
+    postings = docs.select("doc", "tag", "text").mapInArrow(textscan.lean(post), "part int, postings binary").repartition(parts, "part")
+    pairs = write_table(spark, matched(postings, num, den, BEST), "pairs")
+    best = pairs.groupBy(*LINE).agg(F.min(F.struct("apart", "of_doc", "of_line", "of_tag")).alias("b")).select(*LINE, "b.of_doc", "b.of_line", "b.of_tag")
+    best = write_table(spark, best, "best")
+    done = write_table(spark, verified(best, token_sets(docs, best), num, den), "later")
+    others = write_table(spark, pairs.join(small(done), LINE, "left_anti").join(small(best), [*LINE, "of_doc", "of_line", "of_tag"], "left_anti"), "others")
+    if others.limit(1).count():
+        once = others.select(*LINE, "of_doc", "of_line", "of_tag").distinct()
+        done = write_table(spark, done.unionByName(verified(once, token_sets(docs, once), num, den)), "later")
+    undecided = pairs.filter("not whole").select(*LINE).distinct().join(small(done), LINE, "left_anti")
+    undecided = write_table(spark, undecided, "undecided")
+    slices = -(-undecided.count() // SLICE)
+    for k in range(slices):
+        part = undecided.filter(F.pmod(F.xxhash64(*LINE), F.lit(slices)) == k).collect()  # about SLICE rows
+        names = np.array([tuple(r) for r in part], np.dtype([(c, POSTING[c]) for c in LINE]))
+        every = write_table(spark, matched(postings, num, den, None, spark.sparkContext.broadcast(names)), "pairs").select(*LINE, "of_doc", "of_line", "of_tag").distinct()
+        done = done.unionByName(verified(every, token_sets(docs, every), num, den))
+    return write_table(spark, done.distinct(), "later")
+
+
+def token_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc, line, tag and the token set (8 bytes a token, ascending) of every line of the pairs."""
+    spark = docs.sparkSession
+    ends = pairs.select(*LINE).unionByName(pairs.select(F.col("of_doc").alias("doc"), F.col("of_line").alias("line"), F.col("of_tag").alias("tag")))
+    wanted = write_table(spark, ends.groupBy("doc", "tag").agg(F.sort_array(F.collect_set("line")).alias("wanted")), "wanted")  # of one text
+
+    def run(batches):
         for b in batches:
-            tokens, cuts, text, line = lines_of(b.column(0))
-            wanted = b.column(1).to_pylist()
-            node, raw, at = node_keys(tokens, cuts), tokens.astype("<u8").tobytes(), (cuts * 8).tolist()
-            sets = [set(w) for w in wanted]
-            own = [k for k, (t, x) in enumerate(zip(text.tolist(), line.tolist(), strict=True)) if x in sets[t]]
-            yield pa.RecordBatch.from_arrays([fixed(node[own]), pa.array([raw[at[k] : at[k + 1]] for k in own], pa.binary())], ["node", "members"])
-
-    right = by_text.withColumnRenamed("doc_id", "of_id").withColumnRenamed("text_key", "of_key")
-    rows = docs.join(right, docs["doc_id"].eqNullSafe(right["of_id"]) & (docs["text_key"] == right["of_key"])).select("text", "wanted")
-    members = write_table(spark, rows.mapInArrow(textscan.lean(extract), "node binary, members binary"), "members").dropDuplicates(["node"])
-    one = needed.select(F.col("short").alias("a"), F.col("node").alias("node_a"))
-    two = needed.select(F.col("short").alias("b"), F.col("node").alias("node_b"))
-    whole = pairs.join(one, "a").join(two, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
-    return write_table(spark, confirmed(whole, members, (num, den)), "links"), nodes
-
-
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least: tuple[int, int] = (80, 100)) -> DataFrame:
-    """One row per input row: doc_id, text without removed lines, n_lines, n_removed, n_links, text_sha256.
-
-    n_lines counts lines with words; n_links counts the links of lines that occur first in this text.
+            tokens, cuts, text, line = lines_of(b.column(2))
+            sets = [set(w) for w in b.column(3).to_pylist()]
+            own = np.array([k for k, (t, x) in enumerate(zip(text.tolist(), line.tolist(), strict=True)) if x in sets[t]], np.int64)
+            raw, at, texts = tokens.astype("<u8").tobytes(), (cuts * 8).tolist(), pa.array(text[own])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(texts), pa.array(line[own].astype(np.int32)), b.column(1).take(texts), pa.array([raw[at[k] : at[k + 1]] for k in own.tolist()], pa.binary())], [*LINE, "members"])
+
+    rows = docs.select("doc", "tag", "text").join(small(wanted), ["doc", "tag"]).select("doc", "tag", "text", "wanted")
+    found = rows.mapInArrow(textscan.lean(run), "doc long, line int, tag long, members binary")
+    return write_table(spark, found.dropDuplicates(LINE), "members")
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least: tuple[int, int] = (80, 100), keep_text: bool = True) -> DataFrame:
+    """One row per input row: doc_id, n_lines (with words), n_removed, removed (line numbers from 0, ascending).
+
+    With keep_text also text without the removed lines and its SHA-256; only then texts are shuffled.
     """
     spark = docs.sparkSession
     ship(spark)
     textscan.limit_batches(spark)
     num, den = at_least
     whole = F.coalesce(docs[text].cast("string"), F.lit(""))
-    picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("text_key"))
+    of = docs[doc_id].cast("long")
+    picked = docs.select(of.alias("doc_id"), F.coalesce(of, F.lit(-(1 << 63))).alias("doc"), F.xxhash64(whole).bitwiseAND(0xFFFFFFFF).alias("tag"), whole.alias("text"))
     lines = write_table(spark, read_lines(picked), "lines")
-    found, nodes = links(picked, lines, num, den)
-    own = lines.filter("slot is null").select("node", "doc_id", "line", "text_key")
-    first = nodes.select("node", "first")
-    ends = found.join(first.select(F.col("node").alias("a"), F.col("first").alias("first_a")), "a").join(first.select(F.col("node").alias("b"), F.col("first").alias("first_b")), "b")
-    later = ends.select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("node")).distinct().withColumn("later", F.lit(True))
-    marks = nodes.join(later, "node", "left").select("node", "first", F.coalesce("later", F.lit(False)).alias("later"), "times").filter("later or times > 1")
-    gone = own.join(marks.select("node", "first", "later"), "node").filter(F.col("later") | (F.struct("doc_id", "line", "text_key") != F.col("first")))
-    gone = gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("gone"))
-    degree = ends.select(F.explode(F.array("first_a", "first_b")).alias("f")).groupBy(F.col("f.doc_id").alias("doc_id"), F.col("f.text_key").alias("text_key")).agg(F.count("*").alias("n_links"))
-    info = write_table(spark, gone.join(degree, ["doc_id", "text_key"], "full"), "removed").select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "gone", "n_links")
+    later = later_lines(picked, lines, num, den)
+    own = lines.filter("slot is null").select("node", *LINE)
+    again = own.groupBy("node").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("times")).filter("times > 1").select("node", "first")
+    gone = own.join(again, "node").filter(F.struct(*LINE) != F.col("first")).select(*LINE).unionByName(later)
+    gone = gone.groupBy("doc", "tag").agg(F.sort_array(F.collect_set("line")).alias("removed"))  # of one text
+    rows = own.select(*LINE).distinct().groupBy("doc", "tag").agg(F.count("*").alias("n_lines"))
+    info = write_table(spark, rows.join(gone, ["doc", "tag"], "left"), "removed")
+    out = picked.join(info, ["doc", "tag"], "left").select("doc_id", *(["text"] if keep_text else []), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    if not keep_text:
+        return out
 
     def rebuild(batches):
         for b in batches:
             rows = []
-            _, _, owner, _ = lines_of(b.column(1))
-            n_lines = np.bincount(owner, minlength=len(b)).tolist()
-            for t, out in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                drop = set(out or ())
-                kept = t if not drop else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop)
-                rows.append((kept, len(drop), hashlib.sha256(kept.encode()).hexdigest()))
-            kept, dropped, sha = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), pa.array(n_lines, pa.int64()), pa.array(dropped, pa.int64()), b.column(3), pa.array(sha, pa.string())], ["doc_id", "text", "n_lines", "n_removed", "n_links", "text_sha256"])
-
-    joined = picked.join(info, picked["doc_id"].eqNullSafe(info["of_id"]) & (picked["text_key"] == info["of_key"]), "left")
-    joined = joined.select("doc_id", "text", "gone", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return joined.mapInArrow(textscan.lean(rebuild), "doc_id long, text string, n_lines long, n_removed long, n_links long, text_sha256 string")
+            for t, drop in zip(b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True):
+                lost = set(drop)
+                kept = t if not lost else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in lost)
+                rows.append((kept, hashlib.sha256(kept.encode()).hexdigest()))
+            kept, sha = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), b.column(2), b.column(3), b.column(4), pa.array(sha, pa.string())], ["doc_id", "text", "n_lines", "n_removed", "removed", "text_sha256"])
+
+    return out.mapInArrow(textscan.lean(rebuild), "doc_id long, text string, n_lines long, n_removed long, removed array<int>, text_sha256 string")
