@@ -18,6 +18,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ from vecspark.llm import textscan
 from vecspark.session import ship
 
 #: Text bytes that are encoded together: the words of so much text form one trie.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 #: Chunks and words that a worker remembers at most; it then starts anew.
-REMEMBER = 150_000
+REMEMBER = 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -85,7 +86,7 @@ class WordTrie:
 
     def _ending(self, tail: bytes, tokens: dict[bytes, int], long: dict[bytes, tuple[int, ...]], seen: dict[bytes, tuple]) -> tuple:
         """What can end in a tail (at most TAIL bytes): lengths of longer tokens to try, and the (length, id) of the others, longest first."""
-        if len(seen) > 150_000:
+        if len(seen) > 50_000:
             seen.clear()
         n = len(tail)
         out = seen[tail] = long.get(tail, ()), tuple((k, t) for k in range(n, 0, -1) if (t := tokens.get(tail[n - k :])) is not None)
@@ -126,7 +127,7 @@ class WordTrie:
                 i += 1
             else:
                 j += 1
-        if len(self._fits) > 400_000:
+        if len(self._fits) > 150_000:
             self._fits.clear()
         self._fits[a << 20 | b] = good
         return good
@@ -192,8 +193,6 @@ class Encoder:
     PLAIN = re.compile("[!-~¡-±´-¸º»¿-ɏ]*")
 
     def __init__(self, file: str):
-        from tokenizers import Tokenizer
-
         with open(file, encoding="utf-8") as f:
             text = f.read()
         config = json.loads(text)
@@ -201,8 +200,7 @@ class Encoder:
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != WordTrie.END or config.get("decoder"):
             raise ValueError(f"{file} is not a BPE vocabulary with an end-of-word suffix and no decoder")
         self.trie = WordTrie(model["vocab"], model["merges"])
-        whole = Tokenizer.from_str(text)
-        self.normalise, self.cut = whole.normalizer.normalize_str, whole.pre_tokenizer.pre_tokenize_str
+        self.file = file
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
@@ -212,6 +210,13 @@ class Encoder:
             self.name[i] = t
         self.words: dict[bytes, tuple[int, ...]] = {}
 
+    @cached_property
+    def whole(self):
+        """The library's own normaliser and pre-tokenizer, for texts beyond the plain characters; loaded when needed."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.file)
+
     def parts(self, chunk: bytes) -> list:
         """The words (bytes) and special tokens (ids) of a chunk without ASCII white space."""
         text = chunk.decode("utf-8", "replace")
@@ -221,7 +226,7 @@ class Encoder:
         for m in [*self.specials.finditer(text), None]:
             piece = text[at : m.start()] if m else text[at:]
             if piece:
-                out += [self.raw(shown) for shown, _ in self.cut(self.normalise(piece))]
+                out += [self.raw(shown) for shown, _ in self.whole.pre_tokenizer.pre_tokenize_str(self.whole.normalizer.normalize_str(piece))]
             if m:
                 out.append(self.special[m[0]])
                 at = m.end()
