@@ -46,7 +46,8 @@ def simple(text: Column) -> Column:
         signs = F.regexp_extract_all(word, F.lit(f"({IDEOGRAPH})"), 1)
         return F.when(F.size(signs) > 0, F.concat(_not_stopped(signs, CHINESE_STOP_WORDS), _grams(signs, 2))).otherwise(F.array(word))
 
-    return F.coalesce(F.flatten(F.transform(words, terms)), F.array().cast("array<string>"))
+    mixed = F.when(text.rlike(IDEOGRAPH), F.flatten(F.transform(words, terms))).otherwise(words)  # most texts have no ideographs
+    return F.coalesce(mixed, F.array().cast("array<string>"))
 
 
 def ngrams(text: Column) -> Column:
