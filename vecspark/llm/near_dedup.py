@@ -261,11 +261,15 @@ def linked(buckets: DataFrame, members: DataFrame, at_least: tuple[int, int]) ->
             rest = live.filter(F.col("share") >= most / F.col("size")).drop("comp")
         rest = rest.join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         live = write_table(spark, rest.join(open_keys(rest), "key", "left_semi"), "live")
-        if turn == 0 and live.limit(1).count():
+        left = live.select("node").distinct().count() if turn == 0 else 0
+        while left:
             alone = small(write_table(spark, shared_sizes(live, members), "alone"))
             rest = live.join(alone, "node", "left").withColumn("rest", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
             rest = rest.filter(F.col("rest") * den >= F.col("n") * num)
             live = write_table(spark, rest.join(open_keys(rest), "key", "left_semi"), "live")
+            before, left = left, live.select("node").distinct().count()
+            if left > 0.9 * before:  # fewer open nodes share fewer shingles: again while that drops many
+                break
         turn += 1
         if not live.limit(1).count():
             return labels
