@@ -405,6 +405,15 @@ def test_near_copies(spark, odd, empty, shingle, at_least):
     assert kept.columns == odd.columns and {5, 7} <= {r.doc_id for r in kept.collect()} and 6 not in {r.doc_id for r in kept.collect()}
 
 
+def test_unlinked_texts_of_one_id_stay(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b") + " more"), (7, text("c")), (7, text("d")), (8, text("d") + " more"), (9, text("e")), (9, text("e"))]
+    schema = "doc_id long, text string"
+    stay = lambda own: collections.Counter((r.doc_id, r.text[0]) for r in near_dedup.kept_documents(spark.createDataFrame(own, schema).repartition(3)).collect())
+    assert stay(rows) == collections.Counter([(None, "a"), (None, "b"), (7, "c"), (7, "d"), (9, "e")])
+    assert stay([rows[i] for i in (0, 1, 3, 4)]) == collections.Counter([(None, "a"), (None, "b"), (7, "c"), (7, "d")])
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(0)
     pool = np.sort(textscan.mix(np.arange(4000, dtype=np.uint64)))

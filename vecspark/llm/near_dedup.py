@@ -276,10 +276,11 @@ def linked(buckets: DataFrame, members: DataFrame, at_least: tuple[int, int]) ->
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, at_least: tuple[int, int] = (80, 100), rows: int = ROWS) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept; also text_key and node.
+    """One row per input row: doc_id, n_shingles, component_id, kept; also text_key, node and comp.
 
     Texts are linked when the Jaccard similarity of their sets of ``shingle`` consecutive words (A-Z lower-cased, split
     at ASCII white space) is at least ``at_least``, an exact ratio. component_id is the smallest doc_id reachable.
+    comp is the component itself: unlinked texts differ in it, even where their doc_id is null or the same.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -303,19 +304,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         labels = linked(buckets, full_sets(docs, doc_id, text, shingle, needed), at_least)
         ids = ids.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         lows = ids.groupBy("comp").agg(F.min("low").alias("component_id"))
-        ids = ids.join(lows, "comp").select("node", "component_id")
+        ids = ids.join(lows, "comp").select("node", "comp", "component_id")
     else:
-        ids = ids.withColumnRenamed("low", "component_id")
+        ids = ids.select("node", F.col("node").alias("comp"), F.col("low").alias("component_id"))
     ids = write_table(spark, ids, "components")
     out = out.join(ids, "node", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key", "node")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_key", "node", "comp")
 
 
 def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, at_least: tuple[int, int] = (80, 100)) -> DataFrame:
     """docs with one row of each component, all columns. Rows of one doc_id in one component: one text stays."""
     spark = docs.sparkSession
     found = write_table(spark, near_duplicates(docs, doc_id, text, shingle, at_least), "near")
-    kept = found.filter("kept").groupBy("doc_id", F.when(F.col("n_shingles") == 0, F.lit(None)).otherwise(F.col("component_id")).alias("c"), F.when(F.col("n_shingles") > 0, F.lit(None)).otherwise(F.col("text_key")).alias("t")).agg(F.min("text_key").alias("text_key"))
+    full = F.col("n_shingles") > 0
+    kept = found.filter("kept").groupBy("doc_id", F.when(full, F.col("comp")).alias("c"), F.when(~full, F.col("text_key")).alias("t")).agg(F.min("text_key").alias("text_key"))
     one = F.xxhash64(docs[text].cast("string"))
     marked = docs.withColumns({"__id": docs[doc_id].cast("long"), "__key": one})
     out = marked.join(kept.select(F.col("doc_id").alias("__kept_id"), F.col("text_key").alias("__kept_key")), F.col("__id").eqNullSafe(F.col("__kept_id")) & (F.col("__key") == F.col("__kept_key")), "left_semi")
