@@ -131,6 +131,40 @@ def test_license_join_is_exact(docs):
         assert got[i] == (",".join(sorted({x for h in hits for x in h})), sum(map(bool, hits)))
 
 
+WRAPPED = {
+    "mit": """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:""",
+    "lgpl": """// This library is free software; you can redistribute it and/or
+// modify it under the terms of the GNU Lesser General Public
+// License as published by someone""",
+    "mpl-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one */""",
+}
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+def test_wrapped_licenses(spark, end):
+    prose = ("some other words of a text\n" * 3 + "\n").replace("\n", end)
+    texts = [prose + t.replace("\n", end) + end * 2 + prose for t in WRAPPED.values()]
+    apart = [t.replace("\n", "\n\n").replace("\n", end) for t in WRAPPED.values()]  # paragraphs of one line
+    spread = ["\n".join(w + " other words" * 5 for w in license_scan.words_of(license_scan.TEMPLATES[3][1]))]
+    one_line = [license_scan.TEMPLATES[3][1] + end + "more words"]
+    df = spark.createDataFrame(list(enumerate(texts + apart + spread + one_line)), "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r for r in license_scan.scan(df, phrases={"no such phrase": "x"}).collect()}
+    for i, label in enumerate(WRAPPED):
+        assert label in got[i].labels.split(",") and got[i].score >= 0.8 and got[i].n_blocks == 1
+        assert label not in got[len(texts) + i].labels.split(",")
+    assert got[8].labels == "" and got[8].n_blocks == 0
+    assert (got[9].labels, got[9].score, got[9].n_blocks) == ("mit", 1.0, 1)
+
+
 # op3
 
 

@@ -1,14 +1,17 @@
 """License scan: an exact set-similarity join of a corpus's text blocks with license templates.
 
-A block is a line; its words are those of the scan (lower-cased A-Z, runs of letters, digits and everything beyond
-ASCII). A template is found in a block that contains at least ``at_least`` of the template's distinct words. The join:
+A block is a line or, as notices are mostly wrapped, a run of words in a paragraph (consecutive lines that have words)
+of at most 1 / ``at_least`` times the template's words; words are those of the scan (lower-cased A-Z, runs of letters,
+digits and everything beyond ASCII). A template is found in a block that contains at least ``at_least`` of the
+template's distinct words. The join:
 
 1. Words are ordered by their frequency in the whole corpus, rarest first (counted in a first pass for the words of
    the templates; a block's other words can't match and don't take part).
 2. Prefix filter: of a template of n words that needs k, at least one of the n - k + 1 rarest must be in the block.
 3. Length filter: the block has at least k words. Positional filter: where the first common word stands in both orders
    bounds how many can still follow.
-4. What is left is verified on the whole sets.
+4. What is left is verified on the whole sets. Runs are looked for in paragraphs that as a whole pass these filters,
+   and only around words of the prefix.
 
 Beside this, base phrases are counted wherever their words stand consecutively. Templates and phrases are parameters
 and their number doesn't grow with the input. Nulls count as empty texts (no words, no labels, score 0).
@@ -87,7 +90,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
     """One row per input row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, n_blocks.
 
     score is 1 for a base phrase, else the best containment of a template that was found, else 0; n_blocks is the
-    number of blocks with a template.
+    number of lines with a template and of paragraphs with one that none of their lines has.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -97,22 +100,30 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
     often = frequencies(docs, text, vocabulary)
     vocabulary.sort(key=lambda w: (often[w], w))
     rank = {w: k for k, w in enumerate(vocabulary)}
-    wanted = []  # label, ranks in order, how many are needed, prefix length
-    for label, own in sets:
+    wanted = []  # label, ranks in order, how many are needed, prefix length, words of a run
+    for (label, own), (_, notice) in zip(sets, templates, strict=True):
         ranks = sorted(rank[w] for w in own)
         need = math.ceil(at_least * len(ranks) - 1e-9)
-        wanted.append((label, ranks, need, len(ranks) - need + 1))
+        wanted.append((label, ranks, need, len(ranks) - need + 1, math.ceil(len(words_of(notice)) / at_least - 1e-9)))
     keys = hash_of(vocabulary)
     by_key = np.argsort(keys)
-    prefix = sorted({r for _, ranks, _, m in wanted for r in ranks[:m]})
+    prefix = sorted({r for _, ranks, _, m, _ in wanted for r in ranks[:m]})
     probes = np.sort(keys[prefix])
+    ordered = keys[by_key]
+
+    def ranked(hashes: np.ndarray, known: bool = False) -> np.ndarray:
+        """The words' ranks, -1 for words of no template (known: without these)."""
+        j = np.searchsorted(ordered, hashes).clip(max=len(ordered) - 1)
+        hit = ordered[j] == hashes
+        return by_key[j[hit]] if known else np.where(hit, by_key[j], -1)
+
     base = [(hash_of(phrase.split(" ")), label) for phrase, label in phrases.items()]
 
-    def matches(block: list[int]) -> list[tuple[str, float]]:
-        """Templates in a block, given as its words' ranks in order."""
+    def matches(block: list[int]) -> list[tuple[int, float]]:
+        """Templates (their numbers) in a block, given as its words' ranks in order."""
         place = {r: k for k, r in enumerate(block)}
         out = []
-        for label, ranks, need, m in wanted:
+        for t, (_, ranks, need, m, _) in enumerate(wanted):
             if len(block) < need:
                 continue
             i = next((i for i in range(m) if ranks[i] in place), None)
@@ -120,9 +131,30 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
                 continue
             shared = sum(r in place for r in ranks)
             if shared >= need:
-                out.append((label, shared / len(ranks)))
+                out.append((t, shared / len(ranks)))
         return out
 
+    def best_run(words: np.ndarray, t: int) -> float:
+        """The best containment of a template in a run of a paragraph's words, given as ranks (-1: none); 0 if too low."""
+        _, ranks, need, m, width = wanted[t]
+        where = np.flatnonzero(np.isin(words, ranks))
+        rare = where[np.isin(words[where], ranks[:m])]
+        k = np.searchsorted(rare, where)
+        before, after = where - rare[np.maximum(k - 1, 0)], rare[np.minimum(k, len(rare) - 1)] - where
+        where = where[((k > 0) & (before < width)) | ((k < len(rare)) & (after < width))]
+        own, at = words[where].tolist(), where.tolist()
+        count, low, most = dict.fromkeys(ranks, 0), 0, 0
+        shared = 0
+        for r, place in zip(own, at, strict=True):
+            shared += not count[r]
+            count[r] += 1
+            while at[low] <= place - width:
+                count[own[low]] -= 1
+                shared -= not count[own[low]]
+                low += 1
+            most = max(most, shared)
+        return most / len(ranks) if most >= need else 0.0
+
     def run(batches):
         for b in batches:
             hashes, starts, first, data, at = scan_words(b.column(1))
@@ -152,14 +184,31 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", phrases: d
                 a = np.searchsorted(starts, bounds[lines - 1])
                 z = np.searchsorted(starts, bounds[lines])
                 owner = np.searchsorted(first, a, side="right") - 1
+                in_lines: list[tuple[int, int]] = []  # first word of a line and a template in it
                 for x, y, d in zip(a.tolist(), z.tolist(), owner.tolist(), strict=True):
-                    own = np.unique(hashes[x:y])
-                    j = np.searchsorted(keys[by_key], own).clip(max=len(keys) - 1)
-                    found = matches(np.sort(by_key[j[keys[by_key][j] == own]]).tolist())
+                    found = matches(np.unique(ranked(hashes[x:y], known=True)).tolist())
                     if found:
                         blocks[d] += 1
                         best[d] = max(best[d], *(c for _, c in found))
-                        labels.setdefault(d, set()).update(label for label, _ in found)
+                        labels.setdefault(d, set()).update(wanted[t][0] for t, _ in found)
+                        in_lines += [(x, t) for t, _ in found]
+                ends = np.flatnonzero((data == 10) | ((data == 13) & (np.append(data[1:], 0) != 10)))
+                line = np.searchsorted(ends, starts)
+                edges = np.unique(np.concatenate([first, np.flatnonzero(np.diff(line) > 1) + 1]))
+                paragraphs = np.unique(np.searchsorted(edges, hits, side="right"))
+                a, z = edges[paragraphs - 1], edges[paragraphs]
+                several = line[z - 1] > line[a]
+                a, z = a[several], z[several]
+                owner = np.searchsorted(first, a, side="right") - 1
+                line_at = np.array([x for x, _ in in_lines], np.int64)
+                for x, y, d in zip(a.tolist(), z.tolist(), owner.tolist(), strict=True):
+                    words = ranked(hashes[x:y])
+                    found = [(t, c) for t, _ in matches(np.unique(words[words >= 0]).tolist()) if (c := best_run(words, t))]
+                    if found:
+                        seen = {t for _, t in in_lines[np.searchsorted(line_at, x) : np.searchsorted(line_at, y)]}
+                        blocks[d] += any(t not in seen for t, _ in found)
+                        best[d] = max(best[d], *(c for _, c in found))
+                        labels.setdefault(d, set()).update(wanted[t][0] for t, _ in found)
             none = counts == 0
             text_of = lambda table: pa.array([",".join(sorted(table.get(d, ()))) for d in range(n)], pa.string())
             yield pa.RecordBatch.from_arrays(
