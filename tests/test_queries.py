@@ -3,12 +3,14 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
-SF = "/root/testdata/sf0.001"
+SF, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
+from vecspark import queries  # noqa: E402
 from vecspark.queries import ORACLE_SQL, QUERIES  # noqa: E402
 
 
@@ -38,6 +40,22 @@ def test_query(spark, db, name):
         assert len(got) > 0
 
 
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="needs the test tables")
+@pytest.mark.parametrize("kind", ["pq", "hnsw", "diskann"])
+def test_recall_of_registered_settings(spark, kind):
+    """Against brute force, with what the registered query searches; over queries that the query itself doesn't ask."""
+    search = queries._pq(spark, LARGE) if kind == "pq" else queries._graphs(spark, LARGE, kind == "hnsw")
+    own = sorted(spark.read.parquet(f"{LARGE}/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids, vectors = [r[0] for r in own], np.array([r[1] for r in own], float)
+    asked, found = range(0, len(own), len(own) // 8), 0
+    for i in asked:
+        want = {ids[j] for j in np.argsort(((vectors - vectors[i]) ** 2).sum(axis=1), kind="stable")[:10]}
+        got = [r[0] for r in search(vectors[i].tolist()).collect()]
+        assert len(got) == 10
+        found += len(want & set(got))
+    assert found >= 0.9 * 10 * len(asked)
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -454,11 +454,24 @@ def _(spark, sf):
     return back.select("vec_id", F.array_max(F.zip_with("vector", "back", lambda x, y: F.abs(x - y))).alias("error"))
 
 
-@query("pq_search")
-def _(spark, sf):
+#: Points that the codes name for each result, to be ranked by their vectors.
+OVERFETCH = 40
+
+
+def _pq(spark, sf) -> Callable[[list[float]], DataFrame]:
     own = _vectors(spark, sf)
     q = quantizers.Product(64, 8, 32).train(own, max_iter=5)
-    return own.select("vec_id", q.distance(asked(spark, sf), q.encode(F.col("vector"))).alias("score")).orderBy("score", "vec_id").limit(10)
+
+    def search(one: list[float]) -> DataFrame:
+        near = own.withColumn("near", q.distance(one, q.encode(F.col("vector")))).orderBy("near", "vec_id").limit(10 * OVERFETCH)
+        return knn(near.drop("near"), one, 10, "L2", id_col="vec_id").select("vec_id", "score")
+
+    return search
+
+
+@query("pq_search")
+def _(spark, sf):
+    return _pq(spark, sf)(asked(spark, sf))
 
 
 # clusters and graphs
@@ -500,13 +513,13 @@ def _(spark, sf):
     return index.search(asked(spark, sf), 10).select("id", "score")
 
 
-def _graph(layered: bool) -> Query:
-    def run(spark, sf):
-        own = points(spark, sf).select("id", "vector")
-        graphs = graph.build_graphs(own, "L2", 8, 40, layered)
-        return graph.search_graphs(graphs, asked(spark, sf), 10, 50, "long")
+def _graphs(spark, sf, layered: bool) -> Callable[[list[float]], DataFrame]:
+    graphs = graph.build_graphs(points(spark, sf).select("id", "vector"), "L2", 8, 40, layered)
+    return lambda one: graph.search_graphs(graphs, one, 10, 50, "long")
 
-    return run
+
+def _graph(layered: bool) -> Query:
+    return lambda spark, sf: _graphs(spark, sf, layered)(asked(spark, sf))
 
 
 QUERIES["hnsw_search"], QUERIES["diskann_search"] = _graph(True), _graph(False)
