@@ -462,6 +462,14 @@ def test_sketches_estimate_similarity():
         assert abs(same - share) < 0.06
 
 
+def test_short_texts_share_buckets():
+    """Sets of 4 and 5 shingles are at the pipeline's threshold: nearly all pairs share a bucket."""
+    rng, pairs, bands = np.random.default_rng(3), 20_000, near_dedup.bands_for((80, 100))
+    hashes = textscan.mix(rng.integers(0, 2**63, (pairs, 5)).astype(np.uint64))
+    keys = [near_dedup.band_keys(near_dedup.sketches(np.sort(hashes[:, :n], 1).reshape(-1), np.arange(pairs + 1) * n, bands * near_dedup.ROWS), bands, near_dedup.ROWS) for n in (4, 5)]
+    assert (~(keys[0] == keys[1]).any(axis=1)).sum() <= 2
+
+
 # the pipeline and the queries
 
 
