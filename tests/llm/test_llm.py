@@ -280,6 +280,15 @@ def test_toxicity_of_odd_texts(spark, odd, empty):
     assert toxicity.toxicity(empty, labels).count() == 0
 
 
+def test_toxicity_learns_from_long_texts(spark):
+    """All labelled toxic texts have over 20,000 characters."""
+    rows = [(i, "horrid nastiness everywhere " * 800 if i % 2 else "pleasant morning weather " * 5, i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    assert min(got[i] for i, _, y in rows if y) > max(got[i] for i, _, y in rows if not y)
+
+
 # op7
 
 

@@ -3,7 +3,7 @@
 Features are whether a hashed n-gram (4, 6 or 8 characters of a padded word) occurs in the text. Each is scaled by the log of
 the ratio of its smoothed shares among toxic and other training texts; a logistic scorer is fitted on the scaled ones.
 Training takes a bounded sample: the ``per_class`` labelled rows of each class with the smallest hash of their doc_id,
-texts over ``longest`` characters left out; the intercept is set back to the classes' shares among all labels.
+texts of any length (each has at most 2^20 features); the intercept is set back to the classes' shares among all labels.
 
 Scoring covers every whole text; null and empty texts get the intercept alone (no feature occurs). Without labels of
 both classes every score is the share of toxic labels, or 0 without any.
@@ -24,7 +24,7 @@ BITS = 20
 SIZES = (4, 6, 8)
 #: Features in fewer training texts, or whose log ratio is nearer to 0, are left out.
 LEAST_TEXTS, LEAST_RATIO = 5, 1.2
-PER_CLASS, LONGEST = 2500, 20_000
+PER_CLASS = 2500
 THRESHOLD = 0.3
 
 
@@ -55,7 +55,7 @@ def features(texts) -> tuple[np.ndarray, np.ndarray]:
     return (both & type(both[0])((1 << BITS) - 1) if len(both) else both).astype(np.int64), np.searchsorted(both >> BITS if len(both) else both, np.arange(len(n) + 1))
 
 
-def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS, longest: int = LONGEST) -> tuple[np.ndarray, float]:
+def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = PER_CLASS) -> tuple[np.ndarray, float]:
     """A weight for each feature and the intercept."""
     spark = docs.sparkSession
     ship(spark)
@@ -72,7 +72,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     order = (F.xxhash64("label_id"), "label_id")
     picked = [r for y in (1, 0) for r in one.filter(F.col("label") == y).orderBy(*order).limit(per_class).collect()]
     sample = F.broadcast(spark.createDataFrame([(r[0], r[1]) for r in picked], "label_id long, label int"))
-    rows = docs.filter(F.length(docs[text]) <= longest).join(sample, docs[doc_id].cast("long") == sample["label_id"])
+    rows = docs.filter(docs[text].isNotNull()).join(sample, docs[doc_id].cast("long") == sample["label_id"])
 
     def run(batches):
         for b in batches:
