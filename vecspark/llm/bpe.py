@@ -13,12 +13,12 @@ library: BPE with an end-of-word suffix over byte-level symbols); nothing is tra
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterable, Iterator
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +29,10 @@ from vecspark.llm import textscan
 from vecspark.session import ship
 
 #: Text bytes that are encoded together: the words of so much text form one trie.
-TOGETHER = 2 << 20
-#: Chunks and words that a worker remembers at most; it then starts anew.
-REMEMBER = 100_000
+TOGETHER = 4 << 20
+#: Words, and chunks, that a task remembers at most (some 150 and 40 bytes each); it then forgets.
+WORDS, CHUNKS = 200_000, 1_000_000
+U64 = np.uint64
 
 
 def byte_symbols() -> list[str]:
@@ -86,7 +87,7 @@ class WordTrie:
 
     def _ending(self, tail: bytes, tokens: dict[bytes, int], long: dict[bytes, tuple[int, ...]], seen: dict[bytes, tuple]) -> tuple:
         """What can end in a tail (at most TAIL bytes): lengths of longer tokens to try, and the (length, id) of the others, longest first."""
-        if len(seen) > 50_000:
+        if len(seen) > 100_000:
             seen.clear()
         n = len(tail)
         out = seen[tail] = long.get(tail, ()), tuple((k, t) for k in range(n, 0, -1) if (t := tokens.get(tail[n - k :])) is not None)
@@ -127,7 +128,7 @@ class WordTrie:
                 i += 1
             else:
                 j += 1
-        if len(self._fits) > 150_000:
+        if len(self._fits) > 400_000:
             self._fits.clear()
         self._fits[a << 20 | b] = good
         return good
@@ -200,7 +201,7 @@ class Encoder:
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != WordTrie.END or config.get("decoder"):
             raise ValueError(f"{file} is not a BPE vocabulary with an end-of-word suffix and no decoder")
         self.trie = WordTrie(model["vocab"], model["merges"])
-        self.file = file
+        self.config = config | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": []}
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
         byte_of = {c: b for b, c in enumerate(byte_symbols())}
@@ -208,17 +209,20 @@ class Encoder:
         self.name = [""] * (max([*model["vocab"].values(), *self.special.values()]) + 1)
         for t, i in [*model["vocab"].items(), *self.special.items()]:
             self.name[i] = t
-        self.words: dict[bytes, tuple[int, ...]] = {}
+        self.code = "H" if len(self.name) <= 1 << 16 else "I"  # of the packed ids
+        self.words: dict[bytes, bytes] = {}
 
     @cached_property
     def whole(self):
         """The library's own normaliser and pre-tokenizer, for texts beyond the plain characters; loaded when needed."""
         from tokenizers import Tokenizer
 
-        return Tokenizer.from_file(self.file)
+        return Tokenizer.from_str(json.dumps(self.config))
 
     def parts(self, chunk: bytes) -> list:
         """The words (bytes) and special tokens (ids) of a chunk without ASCII white space."""
+        if chunk.isalpha():  # ASCII letters alone
+            return [chunk.lower()]
         text = chunk.decode("utf-8", "replace")
         if "<|" not in text and self.PLAIN.fullmatch(text):
             return [w.encode() for w in self.WORDS.findall(text.lower())]
@@ -234,33 +238,24 @@ class Encoder:
 
     def encode_chunks(self, chunks: list[bytes]) -> Iterator[list[int]]:
         """The ids of each chunk."""
-        known = self.words
-        if len(known) > REMEMBER:
+        for packed in self.packed_chunks(chunks):
+            yield array(self.code, packed).tolist()
+
+    def packed_chunks(self, chunks: list[bytes]) -> list[bytes]:
+        """The ids of each chunk, packed as unsigned integers of type ``code``."""
+        known, code = self.words, self.code
+        if len(known) > WORDS:
             known.clear()
         cut = [self.parts(c) for c in chunks]
         fresh = sorted({w for parts in cut for w in parts if w.__class__ is bytes and w not in known})
-        known.update(zip(fresh, map(tuple, self.trie.encode(fresh)), strict=True))
-        for parts in cut:
-            if len(parts) == 1 and parts[0].__class__ is bytes:
-                yield known[parts[0]]
-            else:
-                ids: list[int] = []
-                for w in parts:
-                    if w.__class__ is bytes:
-                        ids += known[w]
-                    else:
-                        ids.append(w)
-                yield ids
-
-
-_encoders: dict[str, Encoder] = {}
+        known.update(zip(fresh, (array(code, ids).tobytes() for ids in self.trie.encode(fresh)), strict=True))
+        return [known[parts[0]] if len(parts) == 1 and parts[0].__class__ is bytes else b"".join([known[w] if w.__class__ is bytes else array(code, [w]).tobytes() for w in parts]) for parts in cut]
 
 
+@lru_cache(maxsize=1)
 def encoder(file: str) -> Encoder:
-    """The encoder of a vocabulary file, kept by this worker; a file sent with addFile is found by its name."""
-    if file not in _encoders:
-        _encoders[file] = Encoder(SparkFiles.get(file) if "/" not in file else file)
-    return _encoders[file]
+    """The encoder of a vocabulary file, for use outside tasks."""
+    return Encoder(file)
 
 
 def send_vocabulary(df: DataFrame, file: str) -> str:
@@ -296,82 +291,96 @@ def chunks_of(texts) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 
 class Memory:
-    """What a worker remembers of chunks, by hash. Beyond the limit it forgets those that one batch alone has had."""
+    """What a task remembers of chunks, by hash: packed arrays, which go when the task ends.
 
-    def __init__(self, file: str, limit: int = REMEMBER):
-        self.encoder, self.limit = encoder(file), limit
-        self.number: dict[int, int] = {}
-        self.uses = np.zeros(0, np.int32)
-        self.clear()
-
-    def clear(self) -> None:
-        raise NotImplementedError
+    Beyond the limit it forgets the chunks that one batch alone has had.
+    """
 
-    def add(self, ids: list[int]) -> None:
-        raise NotImplementedError
+    def __init__(self, file: str, limit: int = CHUNKS):
+        self.encoder, self.limit = Encoder(SparkFiles.get(file) if "/" not in file else file), limit  # a file sent with addFile
+        self.hashes, self.numbers = np.zeros(0, U64), np.zeros(0, np.int32)  # ascending hashes, and each one's number
+        self.uses = np.zeros(0, np.int32)
+        self.flat, self.ends = bytearray(), array("q", [0])  # packed ids of all numbers
 
-    def keep(self, numbers: np.ndarray) -> None:
-        raise NotImplementedError
+    def kept(self, numbers: np.ndarray) -> None:
+        """Called when only these numbers stay, to become 0, 1, 2 ..."""
 
     def _forget(self) -> None:
         stay = np.flatnonzero(self.uses > 1)
         if len(stay) > self.limit // 2:
             stay = stay[:0]
-        to = np.full(len(self.uses), -1)
+        to = np.full(len(self.uses), -1, np.int32)
         to[stay] = np.arange(len(stay))
-        self.number = {h: k for h, k in zip(self.number, to[np.fromiter(self.number.values(), np.int64, len(self.number))].tolist(), strict=True) if k >= 0}
-        self.keep(stay)
+        numbers = to[self.numbers]
+        self.hashes, self.numbers = self.hashes[numbers >= 0], numbers[numbers >= 0]
+        flat, cuts = self.ids(stay)
+        self.flat, self.ends = bytearray(flat.tobytes()), array("q", (cuts * flat.itemsize).tolist())
         self.uses = np.ones(len(stay), np.int32)
+        self.kept(stay)
 
     def look_up(self, raw: bytes, starts, ends, hashes) -> np.ndarray:
         """The number of each chunk, after encoding those not known."""
-        if not len(hashes):
-            return np.zeros(0, np.int64)
-        gc.disable()  # millions of small tuples and no cycles
-        if len(self.number) > self.limit:
+        if len(self.hashes) > self.limit:
             self._forget()
+        if not len(hashes):
+            return np.zeros(0, np.int32)
         distinct, where, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        numbers = list(map(self.number.get, distinct.tolist()))
-        fresh = [i for i, x in enumerate(numbers) if x is None]
-        if fresh:
-            s, e = starts[where[fresh]].tolist(), ends[where[fresh]].tolist()
-            for i, h, ids in zip(fresh, distinct[fresh].tolist(), self.encoder.encode_chunks([raw[a:b] for a, b in zip(s, e, strict=True)]), strict=True):
-                numbers[i] = self.number[h] = len(self.number)
-                self.add(ids)
-        own = np.array(numbers, np.int64)
-        if len(self.uses) < len(self.number):
-            self.uses = np.concatenate([self.uses, np.zeros(len(self.number) - len(self.uses), np.int32)])
-        self.uses[own] += 1
-        return own[inverse]
+        at = np.searchsorted(self.hashes, distinct)
+        known = np.zeros(len(distinct), bool)
+        inside = np.flatnonzero(at < len(self.hashes))
+        known[inside] = self.hashes[at[inside]] == distinct[inside]
+        numbers = np.empty(len(distinct), np.int32)
+        numbers[known] = self.numbers[at[known]]
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            n = len(self.ends) - 1
+            numbers[fresh] = np.arange(n, n + len(fresh))
+            packed = self.encoder.packed_chunks([raw[a:b] for a, b in zip(starts[where[fresh]].tolist(), ends[where[fresh]].tolist(), strict=True)])
+            self.flat += b"".join(packed)
+            self.ends.extend((self.ends[-1] + np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)))).tolist())
+            both = np.concatenate([self.hashes, distinct[fresh]])
+            order = np.argsort(both, kind="stable")  # two ascending runs
+            self.hashes, self.numbers = both[order], np.concatenate([self.numbers, numbers[fresh]])[order]
+            self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int32)])
+        self.uses[numbers] += 1
+        return numbers[inverse]
+
+    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, joined, and the number of ids before each chunk and at the end."""
+        flat = np.frombuffer(bytes(self.flat), self.encoder.code)
+        ends = np.array(self.ends) // flat.itemsize
+        n = (ends[1:] - ends[:-1])[numbers]
+        before = np.concatenate([[0], np.cumsum(n)])
+        at = np.arange(before[-1], dtype=np.int32)
+        at += np.repeat((ends[numbers] - before[:-1]).astype(np.int32), n)
+        return flat[at], before
 
 
 class Strings(Memory):
-    """Each chunk's count of ids, ids in decimal and decoded text."""
+    """With each chunk's ids in decimal and its decoded text."""
 
-    def clear(self) -> None:
-        self.ids: list[bytes] = []
+    def __init__(self, file: str, limit: int = CHUNKS // 4):
+        super().__init__(file, limit)
+        self.decimal: list[bytes] = []
         self.text: list[bytes] = []
         self.count: list[int] = []
 
-    def keep(self, numbers) -> None:
-        for name in ("ids", "text", "count"):
+    def kept(self, numbers) -> None:
+        for name in ("decimal", "text", "count"):
             old = getattr(self, name)
             setattr(self, name, [old[k] for k in numbers.tolist()])
 
-    def add(self, ids) -> None:
-        self.ids.append(b"%d" % ids[0] if len(ids) == 1 else " ".join(map(str, ids)).encode())
-        self.text.append(" ".join([self.encoder.name[i] for i in ids]).encode())
-        self.count.append(len(ids))
-
-
-_memories: dict[tuple, Memory] = {}
-
-
-def memory(kind: type, file: str) -> Memory:
-    key = kind, file
-    if key not in _memories:
-        _memories[key] = kind(file)
-    return _memories[key]
+    def look_up(self, raw, starts, ends, hashes) -> np.ndarray:
+        out = super().look_up(raw, starts, ends, hashes)
+        names = self.encoder.name
+        ids, cuts = self.ids(np.arange(len(self.count), len(self.uses)))
+        ids, cuts = ids.tolist(), cuts.tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = ids[a:b]
+            self.decimal.append(b"%d" % own[0] if b - a == 1 else " ".join(map(str, own)).encode())
+            self.text.append(" ".join([names[i] for i in own]).encode())
+            self.count.append(b - a)
+        return out
 
 
 ENCODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -390,7 +399,7 @@ def round_trip(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "
     name = send_vocabulary(docs, file)
 
     def run(batches):
-        store = memory(Strings, name)
+        store = Strings(name)
         for batch in together(batches):
             raw, starts, ends, hashes, first = chunks_of(batch.column(1))
             numbers = store.look_up(raw, starts, ends, hashes)
@@ -398,7 +407,7 @@ def round_trip(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "
             cuts = first.tolist()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 own = [k for k in numbers[a:b].tolist() if store.count[k]]
-                ids, decoded = b" ".join([store.ids[k] for k in own]), b" ".join([store.text[k] for k in own])
+                ids, decoded = b" ".join([store.decimal[k] for k in own]), b" ".join([store.text[k] for k in own])
                 rows.append((sum([store.count[k] for k in own]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *((ids.decode(), decoded.decode()) if keep_texts else ())))
             columns = list(zip(*rows, strict=True)) or [[]] * (5 if keep_texts else 3)
             kinds = [pa.int64(), *[pa.string()] * (len(columns) - 1)]

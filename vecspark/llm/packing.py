@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import zlib
-from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
@@ -29,39 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.llm import textscan
-from vecspark.llm.bpe import REMEMBER, Memory, chunks_of, memory, send_vocabulary, together
+from vecspark.llm.bpe import Memory, chunks_of, send_vocabulary, together
 from vecspark.session import ship, write_table
 
 END_ID, CAPACITY = 1, 4096
 
 
-class Numbers(Memory):
-    """Each chunk's ids."""
-
-    def __init__(self, file: str, limit: int = REMEMBER):
-        super().__init__(file, limit)
-
-    def clear(self) -> None:
-        self.flat, self.ends = array("I"), array("q", [0])
-
-    def keep(self, numbers) -> None:
-        flat, ends = np.array(self.flat, np.uint32), np.array(self.ends)
-        n = np.diff(ends)[numbers]
-        at = np.repeat(ends[numbers] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        self.flat, self.ends = array("I", flat[at].tobytes()), array("q", np.concatenate([[0], np.cumsum(n)]).tolist())
-
-    def add(self, ids) -> None:
-        self.flat.extend(ids)
-        self.ends.append(len(self.flat))
-
-    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of chunks, joined, and the number of ids before each chunk."""
-        flat, ends = np.array(self.flat, np.uint32), np.array(self.ends)
-        n = (ends[1:] - ends[:-1])[numbers]
-        before = np.concatenate([[0], np.cumsum(n)])
-        return flat[np.repeat(ends[numbers] - before[:-1], n) + np.arange(before[-1])], before
-
-
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, run int, own_rank long"
 
 
@@ -73,7 +45,7 @@ def pieces(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        store, task, seen = memory(Numbers, name), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        store, task, seen = Memory(name), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in together(batches):
             raw, starts, ends, hashes, first = chunks_of(batch.column(1))
             ids, before = store.ids(store.look_up(raw, starts, ends, hashes))
@@ -128,8 +100,8 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, small: in
         return []
     basis = [[min(capacity // s, most) if i == g else 0 for i in range(k)] for g, s in enumerate(sizes)]
     inverse = np.diag([1 / basis[g][g] for g in range(k)])
-    use = inverse @ np.array(demand, float)
-    for _ in range(40 * k):
+    use = inverse @ (np.array(demand) + np.arange(1, k + 1) * (1e-7 / k))  # unlike shares: no step is of length 0, so no basis comes twice
+    while True:
         value, column = best_configuration(sizes, inverse.sum(axis=0), capacity, most)
         if value <= 1 + 1e-7:
             break
