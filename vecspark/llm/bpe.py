@@ -313,7 +313,7 @@ class Memory:
         to[stay] = np.arange(len(stay))
         numbers = to[self.numbers]
         self.hashes, self.numbers = self.hashes[numbers >= 0], numbers[numbers >= 0]
-        flat, cuts = self.ids(stay)
+        flat, cuts = self.joined(stay)
         self.flat, self.ends = bytearray(flat.tobytes()), array("q", (cuts * flat.itemsize).tolist())
         self.uses = np.ones(len(stay), np.int32)
         self.kept(stay)
@@ -345,7 +345,7 @@ class Memory:
         self.uses[numbers] += 1
         return numbers[inverse]
 
-    def ids(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of chunks, joined, and the number of ids before each chunk and at the end."""
         flat = np.frombuffer(bytes(self.flat), self.encoder.code)
         ends = np.array(self.ends) // flat.itemsize
@@ -361,23 +361,23 @@ class Strings(Memory):
 
     def __init__(self, file: str, limit: int = CHUNKS // 4):
         super().__init__(file, limit)
-        self.decimal: list[bytes] = []
+        self.ids: list[bytes] = []
         self.text: list[bytes] = []
         self.count: list[int] = []
 
     def kept(self, numbers) -> None:
-        for name in ("decimal", "text", "count"):
+        for name in ("ids", "text", "count"):
             old = getattr(self, name)
             setattr(self, name, [old[k] for k in numbers.tolist()])
 
     def look_up(self, raw, starts, ends, hashes) -> np.ndarray:
         out = super().look_up(raw, starts, ends, hashes)
         names = self.encoder.name
-        ids, cuts = self.ids(np.arange(len(self.count), len(self.uses)))
+        ids, cuts = self.joined(np.arange(len(self.count), len(self.uses)))
         ids, cuts = ids.tolist(), cuts.tolist()
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             own = ids[a:b]
-            self.decimal.append(b"%d" % own[0] if b - a == 1 else " ".join(map(str, own)).encode())
+            self.ids.append(b"%d" % own[0] if b - a == 1 else " ".join(map(str, own)).encode())
             self.text.append(" ".join([names[i] for i in own]).encode())
             self.count.append(b - a)
         return out
@@ -407,7 +407,7 @@ def round_trip(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "
             cuts = first.tolist()
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 own = [k for k in numbers[a:b].tolist() if store.count[k]]
-                ids, decoded = b" ".join([store.decimal[k] for k in own]), b" ".join([store.text[k] for k in own])
+                ids, decoded = b" ".join([store.ids[k] for k in own]), b" ".join([store.text[k] for k in own])
                 rows.append((sum([store.count[k] for k in own]), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest(), *((ids.decode(), decoded.decode()) if keep_texts else ())))
             columns = list(zip(*rows, strict=True)) or [[]] * (5 if keep_texts else 3)
             kinds = [pa.int64(), *[pa.string()] * (len(columns) - 1)]

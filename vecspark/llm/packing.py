@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text
         store, task, seen = Memory(name), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in together(batches):
             raw, starts, ends, hashes, first = chunks_of(batch.column(1))
-            ids, before = store.ids(store.look_up(raw, starts, ends, hashes))
+            ids, before = store.joined(store.look_up(raw, starts, ends, hashes))
             ids, cuts = ids.astype("<u4"), before[first]
             n = np.diff(cuts) + 1
             each = -(-n // capacity)
