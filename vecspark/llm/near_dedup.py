@@ -9,8 +9,10 @@
    times as many hubs in each round, and hubs that had their turn leave. Nested hub sets make sure that each two nodes
    of a bucket were compared or are connected when the rounds end, which they do after log8(bucket size) at the latest;
    a bucket whose nodes are all connected ends at once. Two nodes are compared in the first bucket they share only, and
-   only if the shingles that each shares with any node still open are enough to reach the threshold: the shingles that
-   one node alone has bound its similarity to all others from above, so heavily edited copies drop out without pairs.
+   only if an upper bound of what they share reaches the threshold. The bound is exact: a shingle that no other open
+   node has is shared with none (heavily edited copies drop out without pairs), and of the others as many differ, at
+   least, as bits differ in the two nodes' parities of shingles by hash (WORDS longs). So what a group of copies around
+   the threshold makes is about its links between components, not its pairs.
 4. Components are found by alternating large-star and small-star steps, as joins; nothing is collected.
 
 Bands are chosen so that a pair at the threshold shares no bucket with a probability of 1e-6 if bins agree independently.
@@ -37,8 +39,9 @@ from vecspark.session import drop_table, read_table, save_table, ship, write_tab
 U64 = np.uint64
 #: Bins in a band; nodes that are broadcast at most (of 16 bytes and a doc_id: a few MB).
 ROWS, BROADCAST = 5, 100_000
-#: Times the hubs of the round before.
-GROWTH = 8
+#: Times the hubs of the round before; longs of 64 parity bits for each node.
+GROWTH, WORDS = 8, 8
+PARITY = [f"odd{k}" for k in range(WORDS)]
 
 
 def bands_for(at_least: tuple[int, int], rows: int = ROWS, miss: float = 1e-6) -> int:
@@ -125,22 +128,31 @@ def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, bands: int
     return picked.mapInArrow(textscan.lean(run), "doc_id long, text_key long, n long, node binary, bands array<long>")
 
 
+def parities(hashes: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Of each set, the parity of the number of hashes by their lowest bits, as WORDS longs of 64 bits."""
+    n = len(cuts) - 1
+    cell = np.repeat(np.arange(n), np.diff(cuts)) * (64 * WORDS) + (hashes & U64(64 * WORDS - 1)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * 64 * WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(-1, 64), axis=1, bitorder="little").view("<i8").reshape(n, WORDS)
+
+
 def full_sets(docs: DataFrame, doc_id: str, text: str, shingle: int, needed: DataFrame) -> DataFrame:
-    """The sets of the needed nodes (node, doc_id): each from the one row of that doc_id that has it."""
+    """The sets of the needed nodes (node, doc_id), with their parities: each from the one row of that doc_id that has it."""
     spark = docs.sparkSession
-    small = needed.limit(BROADCAST + 1).count() <= BROADCAST
+    few = needed.limit(BROADCAST + 1).count() <= BROADCAST
     ids = needed.select(F.col("any_id").alias("doc_id"), F.col("any_key").alias("text_key")).distinct()
     whole = docs[text].cast("string")
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("text_key"))
-    picked = picked.join(F.broadcast(ids) if small else ids, picked["doc_id"].eqNullSafe(ids["doc_id"]) & (picked["text_key"] == ids["text_key"]), "left_semi")
+    picked = picked.join(F.broadcast(ids) if few else ids, picked["doc_id"].eqNullSafe(ids["doc_id"]) & (picked["text_key"] == ids["text_key"]), "left_semi")
 
     def run(batches):
         for b in batches:
             hashes, cuts = sets(b.column(0), shingle)
             raw, at = hashes.astype("<u8").tobytes(), (cuts * 8).tolist()
-            yield pa.RecordBatch.from_arrays([fixed(node_keys(hashes, cuts)), pa.array([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["node", "members"])
+            odd = parities(hashes, cuts)
+            yield pa.RecordBatch.from_arrays([fixed(node_keys(hashes, cuts)), pa.array([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()), *(pa.array(odd[:, k]) for k in range(WORDS))], ["node", "members", *PARITY])
 
-    found = picked.select("text").mapInArrow(textscan.lean(run), "node binary, members binary")
+    found = picked.select("text").mapInArrow(textscan.lean(run), "node binary, members binary, " + ", ".join(f"{c} long" for c in PARITY))
     return write_table(spark, found.dropDuplicates(["node"]), "sets")  # repeated rows
 
 
@@ -201,7 +213,7 @@ def open_keys(live: DataFrame) -> DataFrame:
 
 
 def shared_sizes(live: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, alone): how many shingles each live node has that no other live node has (no row for none)."""
+    """Of the shingles that each live node shares with any other: their number (rest), and their parities."""
     nodes = small(live.select("node").distinct())
 
     def run(batches):
@@ -213,13 +225,17 @@ def shared_sizes(live: DataFrame, members: DataFrame) -> DataFrame:
             values, first, count = np.unique(np.concatenate(own), return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(np.minimum(count, 2).astype(np.int64)), b.column(0).take(pa.array(owner[first]))], ["shingle", "n", "node"])
 
-    met = members.join(nodes, "node", "left_semi").select("node", "members").mapInArrow(textscan.lean(run), "shingle long, n long, node binary")
+    own = members.join(nodes, "node", "left_semi")
+    met = own.select("node", "members").mapInArrow(textscan.lean(run), "shingle long, n long, node binary")
     once = met.groupBy("shingle").agg(F.sum("n").alias("n"), F.min("node").alias("node")).filter("n = 1")
-    return once.groupBy("node").agg(F.count("*").alias("alone"))
+    bit = F.expr("shiftleft(1L, cast(shingle & 63 as int))")
+    word = F.expr(f"cast(shiftrightunsigned(shingle, 6) & {WORDS - 1} as int)")
+    alone = once.groupBy("node").agg(F.count("*").alias("alone"), *(F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"x{k}") for k in range(WORDS)))
+    return own.select("node", (F.length("members") / 8).cast("long").alias("of"), *PARITY).join(alone, "node", "left").select("node", (F.col("of") - F.coalesce("alone", F.lit(0))).alias("rest"), *(F.col(c).bitwiseXOR(F.coalesce(f"x{k}", F.lit(0).cast("long"))).alias(c) for k, c in enumerate(PARITY)))
 
 
 def linked(buckets: DataFrame, members: DataFrame, at_least: tuple[int, int]) -> DataFrame:
-    """(node, comp) of all nodes that have a link; buckets: (key, node, n, before, size), members: (node, members).
+    """(node, comp) of all nodes that have a link; buckets: (key, node, n, before, size), members: (node, members, PARITY).
 
     before: the keys of the node's bands before this one.
     """
@@ -238,9 +254,12 @@ def linked(buckets: DataFrame, members: DataFrame, at_least: tuple[int, int]) ->
             pairs = hubs.join(own, "key").filter((F.col("a") < F.col("b")) & close)
         else:
             hub = F.col("share") < most / F.col("size")
-            hubs = live.filter(hub).select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a"), F.col("before").alias("before_a"), F.col("rest").alias("rest_a"))
-            own = live.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b"), F.col("before").alias("before_b"), F.col("rest").alias("rest_b"), hub.alias("hub_b"))
-            pairs = hubs.join(own, "key").filter((F.col("comp_a") != F.col("comp_b")) & close & (~F.col("hub_b") | (F.col("a") < F.col("b"))) & (F.least("rest_a", "rest_b") * (num + den) >= (F.col("n_a") + F.col("n_b")) * num) & new_here)
+            columns = ["n", "comp", "before", "rest", *PARITY]
+            hubs = live.filter(hub).select("key", F.col("node").alias("a"), *(F.col(c).alias(f"{c}_a") for c in columns))
+            own = live.select("key", F.col("node").alias("b"), *(F.col(c).alias(f"{c}_b") for c in columns), hub.alias("hub_b"))
+            apart = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in PARITY), F.lit(0))
+            both = F.least(F.least("rest_a", "rest_b") * 2, F.col("rest_a") + F.col("rest_b") - apart)  # twice what they share, at most
+            pairs = hubs.join(own, "key").filter((F.col("comp_a") != F.col("comp_b")) & close & (~F.col("hub_b") | (F.col("a") < F.col("b"))) & (both * (num + den) >= (F.col("n_a") + F.col("n_b")) * (2 * num)) & new_here)
         pairs = write_table(spark, pairs.select("a", "b").distinct(), "candidates")
         new = write_table(spark, confirmed(pairs, members, at_least), "links")
         if labels is None:
@@ -257,13 +276,13 @@ def linked(buckets: DataFrame, members: DataFrame, at_least: tuple[int, int]) ->
         if turn == 0:
             rest = live.join(hubs.select("key", F.col("a").alias("hub")), "key").filter("node != hub").drop("hub")
         else:
-            rest = live.filter(F.col("share") >= most / F.col("size")).drop("comp")
+            rest = live.filter(F.col("share") >= most / F.col("size")).drop("comp")  # rest and parities stay: bounds as before
         rest = rest.join(small(labels), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         live = write_table(spark, rest.join(open_keys(rest), "key", "left_semi"), "live")
         left = live.select("node").distinct().count() if turn == 0 else 0
         while left:
-            alone = small(write_table(spark, shared_sizes(live, members), "alone"))
-            rest = live.join(alone, "node", "left").withColumn("rest", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+            sizes = small(write_table(spark, shared_sizes(live, members), "shared"))
+            rest = live.drop("rest", *PARITY).join(sizes, "node")
             rest = rest.filter(F.col("rest") * den >= F.col("n") * num)
             live = write_table(spark, rest.join(open_keys(rest), "key", "left_semi"), "live")
             before, left = left, live.select("node").distinct().count()
