@@ -30,10 +30,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where that is unset) one of our own."""
+    """The folder that all executors share: spark.checkpoint.dir, or (in local mode only, where it is unset) one of our own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="vecspark-shared-")
         sc.setCheckpointDir(named)
     return named.rstrip("/")
@@ -61,3 +63,19 @@ def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table that nothing reads any more."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables of one computation, deleted together when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(save_table(self.spark, df, name))
+        return read_table(self.spark, self.paths[-1], df)
+
+    def drop(self) -> None:
+        while self.paths:
+            drop_table(self.spark, self.paths.pop())
