@@ -4,7 +4,7 @@ A line's tokens are its distinct words (A-Z lower-cased, split at ASCII white sp
 line, by (doc_id, line number), has the same tokens or a Jaccard similarity of at least ``at_least``. Lines without
 words stay. The join, for a line of n tokens ordered by rarity in the corpus, rarest first:
 
-1. Lines with equal token sets are one node from the first pass on.
+1. Lines with equal token sets are one node: the first of them stands for all, and later ones go.
 2. Rarity is a count in a table of fixed size (2 ** SLOTS), filled from all lines; tokens that share a slot count
    together, which changes the order but not the result: any fixed order is right. A slot that counts 1 holds a token
    of a single line, which can't match and is left out.
@@ -12,10 +12,11 @@ words stay. The join, for a line of n tokens ordered by rarity in the corpus, ra
    common token is frequent, so are all later ones; then they share two among one more, and that pair is the key. So
    single keys are rare by construction and frequent ones are split by a second token.
 4. Length filter (sizes within a factor t) and positional filter (what can follow the first common token), then a
-   bitmap filter (64 bits of each set bound the overlap from above), all on packed arrays, sorted by key and size.
-5. Of a line's earlier candidates, each task keeps the BEST most alike by bitmap. The best of all is verified on the
+   bitmap filter (the parities of 64 classes of tokens bound the difference from below), all on packed arrays, sorted
+   by key and size. Postings come in buckets of keys, as many as the input asks for, and are taken bucket by bucket.
+5. Of a line's earlier candidates, each bucket keeps the BEST most alike by bitmap. The best of all is verified on the
    full token sets, then the others of lines without a match; lines that still have none and had more candidates are
-   matched with all of them in a second pass. So one match settles a line, groups of near copies make no pairs in
+   matched with all of them in one further pass. So one match settles a line, groups of near copies make no pairs in
    square, and no line is left undecided.
 
 Up to three tokens a match means equal sets. Postings of lines that occur very often come from their first occurrence
@@ -35,33 +36,47 @@ from pyspark.sql import functions as F
 
 from vecspark.llm import textscan
 from vecspark.llm.near_dedup import fixed, node_keys, small
-from vecspark.session import ship, write_table
+from vecspark.session import Scratch, ship
 
-#: log2 of the rarity table's size; a level from which on a token is frequent; nodes named as frequent at most.
-SLOTS, FREQUENT, NAMED = 24, 1000, 100_000
-#: Candidates of a line that a task keeps; pairs held before they are thinned; lines of a slice of the second pass.
-BEST, HELD, SLICE = 4, 2_000_000, 100_000
+#: log2 of the rarity table's size and of its parts' size; the count from which on a token is frequent; nodes named at most.
+SLOTS, PART, FREQUENT, NAMED = 24, 16, 1000, 100_000
+#: Candidates of a line that a bucket keeps; pairs held before they are thinned; postings of a bucket, about.
+BEST, HELD, BUCKET = 2, 2_000_000, 250_000
 U64 = np.uint64
-POSTING = np.dtype([("key", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("tag", "<u4"), ("n", "<u4"), ("at", "<u2")])
+POSTING = np.dtype([("key", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("tag", "<u4"), ("n", "<u4"), ("node", "<u4"), ("at", "<u2")])
 LINE = ["doc", "line", "tag"]
+#: Set in a posting's n if the line wants all its candidates.
+WANTED = np.uint32(1 << 31)
+
+
+def in_rows(row: np.ndarray, tokens: np.ndarray, level: np.ndarray | None = None) -> np.ndarray:
+    """The order by row (ascending already), level and token: one sort of packed keys, unless they are too short."""
+    if len(row) and row[-1] < 1 << 20:
+        low = tokens >> U64(20) if level is None else (level.astype(U64) << U64(36)) | (tokens >> U64(28))
+        packed = (row.astype(U64) << U64(44)) | low
+        order = np.argsort(packed)
+        packed, own = packed[order], tokens[order]
+        if not ((packed[1:] == packed[:-1]) & (own[1:] != own[:-1])).any():
+            return order
+    return np.lexsort((tokens, row) if level is None else (tokens, level, row))
 
 
 def lines_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct token hashes of each line with words, ascending, their number before each; each line's text and number."""
     data, at = textscan.buffers(texts)
-    starts, ends, _ = textscan.spans(data, at, textscan.NOT_SPACE)
+    starts, ends, first = textscan.spans(data, at, textscan.NOT_SPACE)
     hashes = textscan.word_hashes(data, starts, ends, lower=True)
     breaks = np.flatnonzero(data == 10)
-    text = np.searchsorted(at, starts, side="right") - 1
-    line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, at)[text]
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    line = np.cumsum(np.bincount(np.searchsorted(starts, breaks), minlength=len(starts) + 1))[: len(starts)]
+    line -= np.searchsorted(breaks, at[:-1])[text]
     new = np.ones(len(starts), bool)
     new[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
     row = np.cumsum(new) - 1
-    order = np.lexsort((hashes, row))
-    h, r = hashes[order], row[order]
+    h = hashes[in_rows(row, hashes)]  # rows stay where they are
     keep = np.ones(len(h), bool)
-    keep[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    count = np.bincount(r[keep], minlength=int(new.sum()))
+    keep[1:] = (h[1:] != h[:-1]) | new[1:]
+    count = np.bincount(row[keep], minlength=int(new.sum()))
     return h[keep], np.concatenate([[0], np.cumsum(count)]), text[new], line[new]
 
 
@@ -69,12 +84,13 @@ def slots(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> U64(64 - SLOTS)).astype(np.int64)
 
 
-LINES = "node binary, doc long, tag long, line int, slot int, n_slot long"
+LINES = "node binary, doc long, tag long, line int, n int, part int, counts binary"
 
 
 def read_lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with words, and at the end of each task its counts by slot."""
-    names = ["node", "doc", "tag", "line", "slot", "n_slot"]
+    """A row for each line with words, and at the end of each task its counts by slot, packed for each part of the table."""
+    names = ["node", "doc", "tag", "line", "n", "part", "counts"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
 
     def run(batches):
         total = np.zeros(1 << SLOTS, np.uint32)
@@ -84,12 +100,11 @@ def read_lines(docs: DataFrame) -> DataFrame:
                 used, n = np.unique(slots(tokens), return_counts=True)
                 total[used] += n.astype(np.uint32)
             own = pa.array(text)
-            yield pa.RecordBatch.from_arrays([fixed(node_keys(tokens, cuts)), b.column(0).take(own), b.column(1).take(own), pa.array(line.astype(np.int32)), pa.nulls(len(text), pa.int32()), pa.nulls(len(text), pa.int64())], names)
-        used = np.flatnonzero(total)
-        for a in range(0, len(used), 100_000):
-            part = used[a : a + 100_000]
-            n = len(part)
-            yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(part.astype(np.int32)), pa.array(total[part].astype(np.int64))], names)
+            yield pa.RecordBatch.from_arrays([fixed(node_keys(tokens, cuts)), b.column(0).take(own), b.column(1).take(own), pa.array(line.astype(np.int32)), pa.array(np.diff(cuts).astype(np.int32)), pa.nulls(len(text), pa.int32()), pa.nulls(len(text), pa.binary())], names)
+        for k, part in enumerate(total.reshape(-1, 1 << PART)):
+            if len(used := np.flatnonzero(part)):
+                packed = used.astype("<u2").tobytes() + part[used].astype("<u4").tobytes()
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, t) for t in kinds), pa.array([k], pa.int32()), pa.array([packed], pa.binary())], names)
 
     return docs.select("doc", "tag", "text").mapInArrow(textscan.lean(run), LINES)
 
@@ -99,12 +114,32 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(255, np.floor(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
 
 
+def rarity_table(lines: DataFrame) -> np.ndarray:
+    """The level of each slot (16 MB, whatever the input), from all tasks' counts."""
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, packed in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                raw = packed.as_buffer()
+                n = raw.size // 6
+                total.setdefault(k, np.zeros(1 << PART, np.int64))[np.frombuffer(raw, "<u2", n)] += np.frombuffer(raw, "<u4", n, 2 * n)
+        for k, counts in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([levels(counts).tobytes()], pa.binary())], ["part", "levels"])
+
+    counts = lines.filter("part is not null").select("part", "counts").repartition("part")
+    out = np.zeros(1 << SLOTS, np.uint8)
+    for row in counts.mapInArrow(textscan.lean(run), "part int, levels binary").collect():
+        out[row["part"] << PART : (row["part"] + 1) << PART] = np.frombuffer(row["levels"], np.uint8)
+    return out
+
+
 def keys_of(tokens: np.ndarray, cuts: np.ndarray, level: np.ndarray, num: int, den: int, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of all lines: the line, the key, and the place of the key's first token in the line's order."""
     n = np.diff(cuts)
     row = np.repeat(np.arange(len(n)), n)
     own = level[slots(tokens)]
-    order = np.lexsort((tokens, own, row))
+    order = in_rows(row, tokens, own)
     place = np.arange(len(tokens)) - cuts[:-1][row]
     t, lev = tokens[order], own[order]
     size = n[row]
@@ -126,15 +161,16 @@ def keys_of(tokens: np.ndarray, cuts: np.ndarray, level: np.ndarray, num: int, d
 
 
 def bitmaps(tokens: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """The parities of each line's tokens by 64 classes: as many tokens differ, at least, as bits."""
     if not len(tokens):
         return np.zeros(0, U64)
-    return np.bitwise_or.reduceat(U64(1) << (tokens & U64(63)), cuts[:-1])
+    return np.bitwise_xor.reduceat(U64(1) << (tokens & U64(63)), cuts[:-1])
 
 
 def candidates(p: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of packed postings that pass the filters, and their bits apart; p is sorted by key and n."""
-    key, bits, n, at = (p[name] for name in ("key", "bits", "n", "at"))
-    n, at = n.astype(np.int64), at.astype(np.int64)
+    key, bits, at = (p[name] for name in ("key", "bits", "at"))
+    n, at = (p["n"] & ~WANTED).astype(np.int64), at.astype(np.int64)
     live, gap = np.arange(len(p)), 1
     while True:
         live = live[live + gap < len(p)]
@@ -173,42 +209,67 @@ def thinned(later: np.ndarray, earlier: np.ndarray, apart: np.ndarray, more: np.
 PAIRS = "doc long, line int, tag long, of_doc long, of_line int, of_tag long, apart int, whole boolean"
 
 
-def matched(postings: DataFrame, num: int, den: int, best: int | None, only=None) -> DataFrame:
-    """Pairs of a line and an earlier candidate; whole: whether all candidates of the line in this task are given.
-
-    only: a broadcast array of lines (doc, line, tag) to find candidates for.
+def in_bucket(p: np.ndarray, num: int, den: int, best: int | None) -> pa.RecordBatch:
+    """The candidates among a bucket's postings; best: how many of a line stay (None: all, of wanted lines alone)."""
+    size = p["n"] & ~WANTED
+    p = p[np.lexsort((p["tag"], p["line"], p["doc"], p["node"], size, p["key"]))]
+    if best is not None:  # of lines with equal sets, the first
+        again = np.ones(len(p), bool)
+        again[:1] = False
+        for c in ("key", "n", "node", "bits"):
+            again[1:] &= p[c][1:] == p[c][:-1]
+        p = p[~again]
+    order = np.lexsort((p["tag"], p["line"], p["doc"]))
+    own = p[LINE][order]
+    new = np.ones(len(p), bool)
+    new[1:] = own[1:] != own[:-1]
+    names = own[new]
+    number = np.empty(len(p), np.int64)
+    number[order] = np.cumsum(new) - 1
+    more = np.zeros(len(names), bool)
+    wanted = np.ones(len(names), bool)
+    if best is None:
+        wanted[:] = False
+        wanted[number[(p["n"] & WANTED) > 0]] = True
+    kept = tuple(np.zeros(0, np.int64) for _ in range(3))
+    fresh: list[tuple[np.ndarray, ...]] = []
+
+    def thin() -> tuple[np.ndarray, ...]:
+        return thinned(*(np.concatenate([old, *new]) for old, new in zip(kept, zip(*fresh, strict=True), strict=True)), more, best)
+
+    held = 0
+    for x, y, d in candidates(p, num, den):
+        a, b = np.maximum(number[x], number[y]), np.minimum(number[x], number[y])
+        keep = (a != b) & wanted[a]
+        fresh.append((a[keep], b[keep], d[keep]))
+        held += len(fresh[-1][0])
+        if held > HELD:
+            kept, fresh, held = thin(), [], 0
+    if fresh:
+        kept = thin()
+    later, earlier, apart = kept
+    columns = [names[at][c].astype(t) for at in (later, earlier) for c, t in zip(LINE, (np.int64, np.int32, np.int64), strict=True)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(apart.astype(np.int32)), pa.array(~more[later])], ["doc", "line", "tag", "of_doc", "of_line", "of_tag", "apart", "whole"])
+
+
+def matched(postings: DataFrame, num: int, den: int, best: int | None) -> DataFrame:
+    """Pairs of a line and an earlier candidate; whole: whether all candidates of the line in this bucket are given.
+
+    postings: (bucket, postings), those of a bucket together.
     """
 
     def run(batches):
-        held: dict[int, list[bytes]] = {}
+        held: list[bytes] = []
+        last = None
         for b in batches:
             for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held.setdefault(k, []).append(raw.as_py())
-        for k in list(held):
-            p = np.frombuffer(b"".join(held.pop(k)), POSTING)
-            p = p[np.lexsort((p["n"], p["key"]))]
-            order = np.lexsort((p["tag"], p["line"], p["doc"]))
-            own = p[LINE][order]
-            new = np.ones(len(p), bool)
-            new[1:] = own[1:] != own[:-1]
-            names = own[new]
-            number = np.empty(len(p), np.int64)
-            number[order] = np.cumsum(new) - 1
-            wanted = np.ones(len(names), bool) if only is None else np.isin(names, only.value)
-            more = np.zeros(len(names), bool)
-            none = np.zeros(0, np.int64)
-            later, earlier, apart, fresh = none, none, none, []
-            for x, y, d in candidates(p, num, den):
-                a, b = np.maximum(number[x], number[y]), np.minimum(number[x], number[y])
-                keep = (a != b) & wanted[a]
-                fresh.append((a[keep], b[keep], d[keep]))
-                if sum(len(f[0]) for f in fresh) > HELD:
-                    later, earlier, apart = thinned(*(np.concatenate([o, *f]) for o, f in zip((later, earlier, apart), zip(*fresh, strict=True), strict=True)), more, best)
-                    fresh = []
-            if fresh:
-                later, earlier, apart = thinned(*(np.concatenate([o, *f]) for o, f in zip((later, earlier, apart), zip(*fresh, strict=True), strict=True)), more, best)
-            columns = [names[at][c].astype(t) for at in (later, earlier) for c, t in zip(LINE, (np.int64, np.int32, np.int64), strict=True)]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(apart.astype(np.int32)), pa.array(~more[later])], ["doc", "line", "tag", "of_doc", "of_line", "of_tag", "apart", "whole"])
+                if k != last and held:
+                    yield in_bucket(np.frombuffer(b"".join(held), POSTING), num, den, best)
+                    held = []
+                last = k
+                held.append(raw.as_py())
+        if held:
+            yield in_bucket(np.frombuffer(b"".join(held), POSTING), num, den, best)
 
     return postings.mapInArrow(textscan.lean(run), PAIRS)
 
@@ -230,18 +291,15 @@ def verified(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFr
     return joined.select(*LINE, "members", "ys").mapInArrow(textscan.lean(run), "doc long, line int, tag long").distinct()
 
 
-def later_lines(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFrame:
+def later_lines(docs: DataFrame, lines: DataFrame, again: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """The lines (doc, line, tag) that have an earlier line of similar tokens. docs: doc, tag, text."""
     spark = docs.sparkSession
-    sums = lines.filter("slot is not null").groupBy("slot").agg(F.sum("n_slot").alias("n")).filter("n > 1").toArrow()  # at most 2 ** SLOTS rows
-    counts = np.ones(1 << SLOTS, np.int64)
-    counts[sums["slot"].to_numpy()] = sums["n"].to_numpy()
-    rarity = spark.sparkContext.broadcast(levels(counts))  # 16 MB, whatever the input
-    total = lines.filter("slot is null").count()
-    common = lines.filter("slot is null").groupBy("node").agg(F.min(F.struct("doc", "line", "tag")).alias("first"), F.count("*").alias("times")).filter(F.col("times") > max(2, total // NAMED))
-    often = common.select("node", "first.doc", "first.line", "first.tag").toArrow().to_pylist()  # at most NAMED rows
+    rarity = spark.sparkContext.broadcast(rarity_table(lines))
+    total, about = lines.filter("part is null").agg(F.count("*"), F.sum(F.expr(f"n - ceil(n * {num} / {den}) + 1"))).first()
+    often = again.filter(F.col("times") > max(2, total // NAMED)).select("node", "first.doc", "first.line", "first.tag").toArrow().to_pylist()  # at most NAMED rows
     named = spark.sparkContext.broadcast({bytes(r["node"]): (r["doc"], r["line"], r["tag"]) for r in often})
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(4 * parts, (about or 0) // BUCKET)
     frequent = int(levels(np.array([FREQUENT]))[0])
 
     def post(batches):
@@ -252,45 +310,50 @@ def later_lines(docs: DataFrame, lines: DataFrame, num: int, den: int) -> DataFr
                 continue
             doc, tag = b.column(0).to_numpy(), b.column(1).to_numpy()
             rows, keys, at = keys_of(tokens, cuts, rarity.value, num, den, frequent)
+            nodes = node_keys(tokens, cuts)
             if first:
-                places = [first.get(k) for k in node_keys(tokens, cuts).tolist()]
+                places = [first.get(k) for k in nodes.tolist()]
                 use = np.array([f is None or f == (doc[t], x, tag[t]) for f, t, x in zip(places, text.tolist(), line.tolist(), strict=True)], bool)
                 rows, keys, at = rows[use[rows]], keys[use[rows]], at[use[rows]]
-            part = (keys >> U64(20)) % U64(parts)
-            order = np.argsort(part, kind="stable")
+            size = np.diff(cuts).astype(np.uint32)
+            if b.num_columns > 3:
+                sets = [set(w or ()) for w in b.column(3).to_pylist()]
+                size[[x in sets[t] for t, x in zip(text.tolist(), line.tolist(), strict=True)]] |= WANTED
+            bucket = (keys >> U64(20)) % U64(buckets)
+            order = np.argsort(bucket, kind="stable")
             rows, out = rows[order], np.empty(len(rows), POSTING)
-            out["key"], out["n"], out["at"] = keys[order], np.diff(cuts)[rows], np.minimum(at[order], 65535)
+            out["key"], out["n"], out["at"] = keys[order], size[rows], np.minimum(at[order], 65535)
+            out["node"] = nodes.view(">u4").reshape(-1, 4)[rows, 0]
             out["bits"], out["doc"], out["line"], out["tag"] = bitmaps(tokens, cuts)[rows], doc[text[rows]], line[rows], tag[text[rows]]
-            where = np.searchsorted(part[order], np.arange(parts + 1, dtype=U64)).tolist()
-            raw, size = out.tobytes(), POSTING.itemsize
-            full = [k for k in range(parts) if where[k + 1] > where[k]]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([raw[where[k] * size : where[k + 1] * size] for k in full], pa.binary())], ["part", "postings"])
+            full, where = np.unique(bucket[order], return_index=True)
+            raw, size, where = out.tobytes(), POSTING.itemsize, [*where.tolist(), len(out)]
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([raw[x * size : y * size] for x, y in zip(where[:-1], where[1:], strict=True)], pa.binary())], ["bucket", "postings"])
+
+    def posted(rows: DataFrame) -> DataFrame:
+        return rows.mapInArrow(textscan.lean(post), "bucket int, postings binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
 
-    postings = docs.select("doc", "tag", "text").mapInArrow(textscan.lean(post), "part int, postings binary").repartition(parts, "part")
-    pairs = write_table(spark, matched(postings, num, den, BEST), "pairs")
+    texts = docs.select("doc", "tag", "text")
+    pairs = scratch.write(matched(posted(texts), num, den, BEST), "pairs")
+    members = scratch.write(token_sets(docs, pairs, scratch), "members")
     best = pairs.groupBy(*LINE).agg(F.min(F.struct("apart", "of_doc", "of_line", "of_tag")).alias("b")).select(*LINE, "b.of_doc", "b.of_line", "b.of_tag")
-    best = write_table(spark, best, "best")
-    done = write_table(spark, verified(best, token_sets(docs, best), num, den), "later")
-    others = write_table(spark, pairs.join(small(done), LINE, "left_anti").join(small(best), [*LINE, "of_doc", "of_line", "of_tag"], "left_anti"), "others")
-    if others.limit(1).count():
-        once = others.select(*LINE, "of_doc", "of_line", "of_tag").distinct()
-        done = write_table(spark, done.unionByName(verified(once, token_sets(docs, once), num, den)), "later")
-    undecided = pairs.filter("not whole").select(*LINE).distinct().join(small(done), LINE, "left_anti")
-    undecided = write_table(spark, undecided, "undecided")
-    slices = -(-undecided.count() // SLICE)
-    for k in range(slices):
-        part = undecided.filter(F.pmod(F.xxhash64(*LINE), F.lit(slices)) == k).collect()  # about SLICE rows
-        names = np.array([tuple(r) for r in part], np.dtype([(c, POSTING[c]) for c in LINE]))
-        every = write_table(spark, matched(postings, num, den, None, spark.sparkContext.broadcast(names)), "pairs").select(*LINE, "of_doc", "of_line", "of_tag").distinct()
-        done = done.unionByName(verified(every, token_sets(docs, every), num, den))
-    return write_table(spark, done.distinct(), "later")
-
-
-def token_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    best = scratch.write(best, "best")
+    done = scratch.write(verified(best, members, num, den), "later")
+    others = pairs.join(small(done), LINE, "left_anti").join(small(best), [*LINE, "of_doc", "of_line", "of_tag"], "left_anti")
+    others = scratch.write(others.select(*LINE, "of_doc", "of_line", "of_tag").distinct(), "others")
+    done = scratch.write(done.unionByName(verified(others, members, num, den)), "later")
+    undecided = scratch.write(pairs.filter("not whole").select(*LINE).distinct().join(small(done), LINE, "left_anti"), "undecided")
+    if undecided.limit(1).count():
+        wanted = scratch.write(undecided.groupBy("doc", "tag").agg(F.collect_list("line").alias("wanted")), "wanted")
+        marked = texts.join(small(wanted), ["doc", "tag"], "left").select("doc", "tag", "text", "wanted")
+        every = scratch.write(matched(posted(marked), num, den, None).select(*LINE, "of_doc", "of_line", "of_tag").distinct(), "pairs")
+        done = scratch.write(done.unionByName(verified(every, token_sets(docs, every, scratch), num, den)).distinct(), "later")
+    return done
+
+
+def token_sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc, line, tag and the token set (8 bytes a token, ascending) of every line of the pairs."""
-    spark = docs.sparkSession
     ends = pairs.select(*LINE).unionByName(pairs.select(F.col("of_doc").alias("doc"), F.col("of_line").alias("line"), F.col("of_tag").alias("tag")))
-    wanted = write_table(spark, ends.groupBy("doc", "tag").agg(F.sort_array(F.collect_set("line")).alias("wanted")), "wanted")  # of one text
+    wanted = scratch.write(ends.groupBy("doc", "tag").agg(F.sort_array(F.collect_set("line")).alias("wanted")), "wanted")  # of one text
 
     def run(batches):
         for b in batches:
@@ -302,7 +365,7 @@ def token_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     rows = docs.select("doc", "tag", "text").join(small(wanted), ["doc", "tag"]).select("doc", "tag", "text", "wanted")
     found = rows.mapInArrow(textscan.lean(run), "doc long, line int, tag long, members binary")
-    return write_table(spark, found.dropDuplicates(LINE), "members")
+    return found.dropDuplicates(LINE)
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_least: tuple[int, int] = (80, 100), keep_text: bool = True) -> DataFrame:
@@ -317,14 +380,17 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_
     whole = F.coalesce(docs[text].cast("string"), F.lit(""))
     of = docs[doc_id].cast("long")
     picked = docs.select(of.alias("doc_id"), F.coalesce(of, F.lit(-(1 << 63))).alias("doc"), F.xxhash64(whole).bitwiseAND(0xFFFFFFFF).alias("tag"), whole.alias("text"))
-    lines = write_table(spark, read_lines(picked), "lines")
-    later = later_lines(picked, lines, num, den)
-    own = lines.filter("slot is null").select("node", *LINE)
-    again = own.groupBy("node").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("times")).filter("times > 1").select("node", "first")
+    scratch, kept = Scratch(spark), Scratch(spark)
+    lines = scratch.write(read_lines(picked), "lines")
+    own = lines.filter("part is null").select("node", *LINE)
+    again = own.groupBy("node").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("times")).filter("times > 1")
+    again = scratch.write(again, "again")
+    later = later_lines(picked, lines, again, num, den, scratch)
     gone = own.join(again, "node").filter(F.struct(*LINE) != F.col("first")).select(*LINE).unionByName(later)
     gone = gone.groupBy("doc", "tag").agg(F.sort_array(F.collect_set("line")).alias("removed"))  # of one text
     rows = own.select(*LINE).distinct().groupBy("doc", "tag").agg(F.count("*").alias("n_lines"))
-    info = write_table(spark, rows.join(gone, ["doc", "tag"], "left"), "removed")
+    info = kept.write(rows.join(gone, ["doc", "tag"], "left"), "removed")
+    scratch.drop()
     out = picked.join(info, ["doc", "tag"], "left").select("doc_id", *(["text"] if keep_text else []), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
     if not keep_text:
         return out
