@@ -12,7 +12,7 @@ words stay. The join, for a line of n tokens ordered by rarity in the corpus, ra
    common token is frequent, so are all later ones; then they share two among one more, and that pair is the key. So
    single keys are rare by construction and frequent ones are split by a second token.
 4. Length filter (sizes within a factor t) and positional filter (what can follow the first common token), then a
-   bitmap filter (the parities of 64 classes of tokens bound the difference from below), all on packed arrays, sorted
+   bitmap filter (the parities of 128 classes of tokens bound the difference from below), all on packed arrays, sorted
    by key and size. Postings come in buckets of keys, as many as the input asks for, and are taken bucket by bucket.
 5. Of a line's earlier candidates, each bucket keeps the BEST most alike by bitmap. The best of all is verified on the
    full token sets, then the others of lines without a match; lines that still have none and had more candidates are
@@ -39,11 +39,13 @@ from vecspark.llm.near_dedup import fixed, node_keys, small
 from vecspark.session import Scratch, ship
 
 #: log2 of the rarity table's size and of its parts' size; the count from which on a token is frequent; nodes named at most.
-SLOTS, PART, FREQUENT, NAMED = 24, 16, 1000, 100_000
+SLOTS, PART, FREQUENT, NAMED = 24, 16, 4000, 100_000
 #: Candidates of a line that a bucket keeps; pairs held before they are thinned; postings of a bucket, about.
-BEST, HELD, BUCKET = 2, 2_000_000, 250_000
+BEST, HELD, BUCKET = 1, 2_000_000, 250_000
+#: Pairs, lines or texts that are broadcast at most (of 3 to 6 numbers: some 30 MB); log2 of the places of keys in a second pass.
+FEW, KEYS = 300_000, 24
 U64 = np.uint64
-POSTING = np.dtype([("key", "<u8"), ("bits", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("tag", "<u4"), ("n", "<u4"), ("node", "<u4"), ("at", "<u2")])
+POSTING = np.dtype([("key", "<u8"), ("bits", "<u8", 2), ("doc", "<i8"), ("line", "<u4"), ("tag", "<u4"), ("n", "<u4"), ("node", "<u4"), ("at", "<u2")])
 LINE = ["doc", "line", "tag"]
 #: Set in a posting's n if the line wants all its candidates.
 WANTED = np.uint32(1 << 31)
@@ -109,6 +111,10 @@ def read_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "tag", "text").mapInArrow(textscan.lean(run), LINES)
 
 
+def slots_of_keys(keys: np.ndarray) -> np.ndarray:
+    return (textscan.mix(keys) >> U64(64 - KEYS)).astype(np.int64)
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
     """Counts as levels of 8 bits that keep their order: 0 for 1, then eight for each doubling."""
     return np.minimum(255, np.floor(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
@@ -161,10 +167,13 @@ def keys_of(tokens: np.ndarray, cuts: np.ndarray, level: np.ndarray, num: int, d
 
 
 def bitmaps(tokens: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """The parities of each line's tokens by 64 classes: as many tokens differ, at least, as bits."""
-    if not len(tokens):
-        return np.zeros(0, U64)
-    return np.bitwise_xor.reduceat(U64(1) << (tokens & U64(63)), cuts[:-1])
+    """The parities of each line's tokens by 128 classes: as many tokens differ, at least, as bits."""
+    out = np.zeros((len(cuts) - 1, 2), U64)
+    if len(tokens):
+        bit, high = U64(1) << (tokens & U64(63)), (tokens & U64(64)) > 0
+        for k in range(2):
+            out[:, k] = np.bitwise_xor.reduceat(np.where(high == bool(k), bit, U64(0)), cuts[:-1])
+    return out
 
 
 def candidates(p: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -183,7 +192,7 @@ def candidates(p: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray,
         need = -(-num * (a + b) // (num + den))
         good = np.minimum(a - at[live], b - at[other]) >= need
         x, y = live[good], other[good]
-        apart = np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64)
+        apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
         close = (n[x] + n[y] - apart) // 2 >= need[good]
         if close.any():
             yield x[close], y[close], apart[close]
@@ -216,8 +225,9 @@ def in_bucket(p: np.ndarray, num: int, den: int, best: int | None) -> pa.RecordB
     if best is not None:  # of lines with equal sets, the first
         again = np.ones(len(p), bool)
         again[:1] = False
-        for c in ("key", "n", "node", "bits"):
+        for c in ("key", "n", "node"):
             again[1:] &= p[c][1:] == p[c][:-1]
+        again[1:] &= (p["bits"][1:] == p["bits"][:-1]).all(axis=1)
         p = p[~again]
     order = np.lexsort((p["tag"], p["line"], p["doc"]))
     own = p[LINE][order]
@@ -286,8 +296,10 @@ def verified(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFr
                 good[i] = den * shared >= num * (len(both) - shared)
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(good)) for k in range(3)], LINE)
 
+    pairs = pairs.select(*LINE, "of_doc", "of_line", "of_tag")
     of = members.select(F.col("doc").alias("of_doc"), F.col("line").alias("of_line"), F.col("tag").alias("of_tag"), F.col("members").alias("ys"))
-    joined = members.join(small(pairs.select(*LINE, "of_doc", "of_line", "of_tag")), LINE).join(of, ["of_doc", "of_line", "of_tag"])
+    of = of.join(small(pairs.select("of_doc", "of_line", "of_tag").distinct(), FEW), ["of_doc", "of_line", "of_tag"], "left_semi")
+    joined = members.join(small(pairs, FEW), LINE).join(of, ["of_doc", "of_line", "of_tag"])
     return joined.select(*LINE, "members", "ys").mapInArrow(textscan.lean(run), "doc long, line int, tag long").distinct()
 
 
@@ -302,7 +314,7 @@ def later_lines(docs: DataFrame, lines: DataFrame, again: DataFrame, num: int, d
     buckets = max(4 * parts, (about or 0) // BUCKET)
     frequent = int(levels(np.array([FREQUENT]))[0])
 
-    def post(batches):
+    def post(batches, only=None):
         first = named.value
         for b in batches:
             tokens, cuts, text, line = lines_of(b.column(2))
@@ -316,7 +328,9 @@ def later_lines(docs: DataFrame, lines: DataFrame, again: DataFrame, num: int, d
                 use = np.array([f is None or f == (doc[t], x, tag[t]) for f, t, x in zip(places, text.tolist(), line.tolist(), strict=True)], bool)
                 rows, keys, at = rows[use[rows]], keys[use[rows]], at[use[rows]]
             size = np.diff(cuts).astype(np.uint32)
-            if b.num_columns > 3:
+            if only is not None:
+                use = only.value[slots_of_keys(keys)]
+                rows, keys, at = rows[use], keys[use], at[use]
                 sets = [set(w or ()) for w in b.column(3).to_pylist()]
                 size[[x in sets[t] for t, x in zip(text.tolist(), line.tolist(), strict=True)]] |= WANTED
             bucket = (keys >> U64(20)) % U64(buckets)
@@ -329,8 +343,16 @@ def later_lines(docs: DataFrame, lines: DataFrame, again: DataFrame, num: int, d
             raw, size, where = out.tobytes(), POSTING.itemsize, [*where.tolist(), len(out)]
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([raw[x * size : y * size] for x, y in zip(where[:-1], where[1:], strict=True)], pa.binary())], ["bucket", "postings"])
 
-    def posted(rows: DataFrame) -> DataFrame:
-        return rows.mapInArrow(textscan.lean(post), "bucket int, postings binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
+    def posted(rows: DataFrame, only=None) -> DataFrame:
+        found = rows.mapInArrow(textscan.lean(lambda batches: post(batches, only)), "bucket int, postings binary")
+        return found.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+    def places(batches):
+        for b in batches:
+            cuts = np.concatenate([[0], np.cumsum(np.array([len(x.as_buffer()) // 8 for x in b.column(0)], np.int64))])
+            tokens = np.frombuffer(b"".join(x.as_py() for x in b.column(0)), "<u8")
+            _, keys, _ = keys_of(tokens, cuts, rarity.value, num, den, frequent)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots_of_keys(keys)).astype(np.int32))], ["place"])
 
     texts = docs.select("doc", "tag", "text")
     pairs = scratch.write(matched(posted(texts), num, den, BEST), "pairs")
@@ -338,14 +360,17 @@ def later_lines(docs: DataFrame, lines: DataFrame, again: DataFrame, num: int, d
     best = pairs.groupBy(*LINE).agg(F.min(F.struct("apart", "of_doc", "of_line", "of_tag")).alias("b")).select(*LINE, "b.of_doc", "b.of_line", "b.of_tag")
     best = scratch.write(best, "best")
     done = scratch.write(verified(best, members, num, den), "later")
-    others = pairs.join(small(done), LINE, "left_anti").join(small(best), [*LINE, "of_doc", "of_line", "of_tag"], "left_anti")
+    others = pairs.join(small(done, FEW), LINE, "left_anti").join(small(best, FEW), [*LINE, "of_doc", "of_line", "of_tag"], "left_anti")
     others = scratch.write(others.select(*LINE, "of_doc", "of_line", "of_tag").distinct(), "others")
     done = scratch.write(done.unionByName(verified(others, members, num, den)), "later")
-    undecided = scratch.write(pairs.filter("not whole").select(*LINE).distinct().join(small(done), LINE, "left_anti"), "undecided")
+    undecided = scratch.write(pairs.filter("not whole").select(*LINE).distinct().join(small(done, FEW), LINE, "left_anti"), "undecided")
     if undecided.limit(1).count():
         wanted = scratch.write(undecided.groupBy("doc", "tag").agg(F.collect_list("line").alias("wanted")), "wanted")
-        marked = texts.join(small(wanted), ["doc", "tag"], "left").select("doc", "tag", "text", "wanted")
-        every = scratch.write(matched(posted(marked), num, den, None).select(*LINE, "of_doc", "of_line", "of_tag").distinct(), "pairs")
+        theirs = members.join(small(undecided, FEW), LINE, "left_semi").select("members").mapInArrow(textscan.lean(places), "place int").distinct().toArrow()
+        keys = np.zeros(1 << KEYS, bool)  # only lines that share one of these keys with an undecided line matter
+        keys[theirs["place"].to_numpy()] = True
+        marked = texts.join(small(wanted, FEW), ["doc", "tag"], "left").select("doc", "tag", "text", "wanted")
+        every = scratch.write(matched(posted(marked, spark.sparkContext.broadcast(keys)), num, den, None).select(*LINE, "of_doc", "of_line", "of_tag").distinct(), "pairs")
         done = scratch.write(done.unionByName(verified(every, token_sets(docs, every, scratch), num, den)).distinct(), "later")
     return done
 
@@ -363,7 +388,7 @@ def token_sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame
             raw, at, texts = tokens.astype("<u8").tobytes(), (cuts * 8).tolist(), pa.array(text[own])
             yield pa.RecordBatch.from_arrays([b.column(0).take(texts), pa.array(line[own].astype(np.int32)), b.column(1).take(texts), pa.array([raw[at[k] : at[k + 1]] for k in own.tolist()], pa.binary())], [*LINE, "members"])
 
-    rows = docs.select("doc", "tag", "text").join(small(wanted), ["doc", "tag"]).select("doc", "tag", "text", "wanted")
+    rows = docs.select("doc", "tag", "text").join(small(wanted, FEW), ["doc", "tag"]).select("doc", "tag", "text", "wanted")
     found = rows.mapInArrow(textscan.lean(run), "doc long, line int, tag long, members binary")
     return found.dropDuplicates(LINE)
 

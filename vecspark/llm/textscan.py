@@ -20,7 +20,7 @@ SPACES = bytes([32, *range(9, 14)])
 #: Bytes and rows of an Arrow batch that Spark hands to Python.
 BATCH_BYTES, BATCH_ROWS = 2 << 20, 4096
 #: Bytes hashed at once; the powers of the hash's base are kept for so many positions.
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd, so that powers can be inverted modulo 2**64
 _U64 = np.uint64
