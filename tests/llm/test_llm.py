@@ -225,6 +225,29 @@ def test_top_k_in_chunks(spark, monkeypatch):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == brute_top(rows, 5)
 
 
+def test_top_k_of_large_components(spark):
+    rows = [(0, [1e7] + [0.0] * 63), (50, [1e300] * 64), (100, [-1e300] * 64), (150, [3e16] * 64), *((i, [float(1 + i % 2)] * 64) for i in range(1, 40))]
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda c: c % 50 == 0).collect()
+    ints = [(i, [max(-(2**63), min(2**63 - 1, int(np.floor(256 * x)))) for x in v]) for i, v in rows]
+    scores = {i: sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w, strict=True)))), j) for j, w in ints if j != i)[:5] for i, v in ints if i % 50 == 0}
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == [(i, k + 1, j, -s) for i in sorted(scores) for k, (s, j) in enumerate(scores[i])]
+
+
+def test_top_k_memory_is_bounded():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    x = np.floor(rng.normal(size=(topk_search.CHUNK, 64)) * 256).astype(np.int64)
+    y = np.floor(rng.normal(size=(2048, 64)) * 256).astype(np.int64)
+    search = topk_search.Search(np.arange(len(x)), x, 5, np.full(len(x), np.iinfo(np.int64).min))
+    search.add(np.arange(64) + 10**6, np.arange(64) + 10**6, y[:64])
+    tracemalloc.start()
+    for a in range(0, len(y), topk_search.BLOCK):
+        search.add(np.arange(a, a + topk_search.BLOCK) + 10**7, np.arange(a, a + topk_search.BLOCK) + 10**7, y[a : a + topk_search.BLOCK])
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     x = np.floor(rng.normal(size=(50, 37)) * 256)

@@ -12,7 +12,8 @@ lower bound, so tasks return little more than the answer.
 
 Components are floor(scale * x). Vectors that are null, empty or hold null or non-finite components take no part, nor
 do rows with a null id; vectors of different lengths aren't compared. A row isn't its own neighbour, a repeated row is.
-Scores beyond 64 bits are an error.
+Components and scores beyond 64 bits count as the nearest 64-bit number. Queries and candidates meet in blocks of
+bounded size, so a task's memory doesn't depend on how many there are.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from vecspark.llm import textscan
 from vecspark.session import ship, write_table
 
 K, SCALE = 5, 256
-#: Segments, coarse to fine; queries of a chunk; candidates computed together; queries used for the first bounds.
-LEVELS, CHUNK, BLOCK, SEEDS = (4, 16), 8192, 2048, 2048
+#: Segments, coarse to fine; queries of a chunk; queries and candidates that meet at once; queries used for the first bounds.
+LEVELS, CHUNK, BLOCK, SEEDS = (4, 16), 8192, 1024, 2048
+#: Pairs whose exact scores are computed at once; the least and the largest score.
+PAIRS, LEAST, MOST = 1 << 14, -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataFrame:
@@ -42,10 +45,9 @@ def quantised(vectors: DataFrame, vec_id: str, vector: str, scale: int) -> DataF
             ends = np.cumsum(n)
             bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
             good = (bad[ends] == bad[ends - n]) & (n > 0)
-            whole = np.floor(np.where(np.isfinite(x), x, 0) * scale)
-            if len(whole) and np.abs(whole).max() >= 2**62:
-                raise OverflowError("a component is too large")
-            raw = whole.astype("<i8").tobytes()
+            with np.errstate(over="ignore"):
+                whole = np.floor(np.where(np.isfinite(x), x, 0) * scale)
+            raw = np.where(whole >= 2.0**63, MOST, np.clip(whole, -(2.0**63), 2.0**63 - 1024).astype("<i8")).astype("<i8").tobytes()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([raw[(e - m) * 8 : e * 8] if g else None for e, m, g in zip(ends.tolist(), n.tolist(), good.tolist(), strict=True)], pa.binary())], ["row", "vec_id", "v"])
 
     picked = vectors.select(F.monotonically_increasing_id().alias("row"), vectors[vec_id].cast("long").alias("vec_id"), vectors[vector].cast("array<double>").alias("v"))
@@ -68,45 +70,52 @@ class Search:
     def __init__(self, rows: np.ndarray, x: np.ndarray, k: int, least: np.ndarray):
         self.rows, self.x, self.k = rows, x, k
         self.least = least.copy()  # the k-th best known
-        self.wide = x.astype(float)
-        self.largest = int(np.abs(x).max())
-        self.levels = [np.hstack(statistics(self.wide, s)) for s in LEVELS]
-        self.norm = np.sqrt((self.wide**2).sum(axis=1))
+        wide = x.astype(float)
+        self.levels = [np.hstack(statistics(wide, s)) for s in LEVELS]
+        self.norm = np.sqrt((wide**2).sum(axis=1))
         self.found = np.zeros((4, 0), np.int64)  # query, score, vec_id, row
 
-    def exact(self, q: np.ndarray, y: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Scores of pairs of queries q and rows c of y."""
-        bound = self.largest * int(np.abs(y).max()) * y.shape[1]
-        if bound >= 2**63:
-            raise OverflowError("a score may not fit 64 bits")
+    def exact(self, q: np.ndarray, y: np.ndarray, c: np.ndarray, bound: np.ndarray) -> np.ndarray:
+        """Scores of pairs of queries q and rows c of y; bound: of each score's size, from the vectors' lengths."""
         out = np.empty(len(q), np.int64)
-        for a in range(0, len(q), 1 << 16):
-            s = slice(a, a + (1 << 16))
+        for a in range(0, len(q), PAIRS):
+            s = slice(a, a + PAIRS)
             out[s] = np.einsum("ij,ij->i", self.x[q[s]], y[c[s]])
+        for i in np.flatnonzero(bound >= 2.0**62).tolist():  # may not fit 64 bits
+            score = sum(a * b for a, b in zip(self.x[q[i]].tolist(), y[c[i]].tolist(), strict=True))
+            out[i] = min(MOST, max(LEAST, score))
         return out
 
     def add(self, rows: np.ndarray, ids: np.ndarray, y: np.ndarray) -> None:
         wide = y.astype(float)
         norm = np.sqrt((wide**2).sum(axis=1))
-        slack = self.norm[:, None] * norm[None] * 1e-9 + 1e-6
-        top = self.levels[0] @ np.hstack(statistics(wide, LEVELS[0])).T
-        q, c = np.nonzero(top + slack >= self.least[:, None])
-        for level, segments in zip(self.levels[1:], LEVELS[1:], strict=True):
-            own = np.hstack(statistics(wide, segments))
-            bound = np.concatenate([np.einsum("ij,ij->i", level[q[a : a + (1 << 16)]], own[c[a : a + (1 << 16)]]) for a in range(0, len(q), 1 << 16)] or [np.zeros(0)])
-            keep = bound + slack[q, c] >= self.least[q]
-            q, c = q[keep], c[keep]
-        score = self.exact(q, y, c) if len(q) else np.zeros(0, np.int64)
-        keep = (score >= self.least[q]) & (self.rows[q] != rows[c])
-        q, c, score = q[keep], c[keep], score[keep]
+        own = [np.hstack(statistics(wide, segments)) for segments in LEVELS]
+        new = [self._block(slice(a, a + BLOCK), rows, y, norm, own) for a in range(0, len(self.rows), BLOCK)]
+        q, score, c = (np.concatenate(parts) for parts in zip(*new, strict=True))
         found = np.concatenate([self.found, np.stack([q, score, ids[c], rows[c]])], axis=1)
-        found = found[:, np.lexsort((found[3], found[2], -found[1], found[0]))]
+        found = found[:, np.lexsort((found[3], found[2], ~found[1], found[0]))]
         first = np.searchsorted(found[0], np.arange(len(self.rows)))
         place = np.arange(found.shape[1]) - first[found[0]]
         self.found = found[:, place < self.k]
         last = found[:, place == self.k - 1]
         self.least[last[0]] = np.maximum(self.least[last[0]], last[1])
 
+    def _block(self, s: slice, rows: np.ndarray, y: np.ndarray, norm: np.ndarray, own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query, score and candidate of the pairs that may be among the best, for a slice of the queries."""
+        least = self.least[s].astype(float)
+        least -= np.abs(least) * 1e-9
+        least[self.least[s] == LEAST] = -np.inf
+        q, c = np.nonzero(self.levels[0][s] @ own[0].T + (self.norm[s, None] * norm[None] * 1e-9 + 1e-6) >= least[:, None])
+        q += s.start
+        reach = self.norm[q] * norm[c]
+        for level, other in zip(self.levels[1:], own[1:], strict=True):
+            bound = np.concatenate([np.einsum("ij,ij->i", level[q[a : a + PAIRS]], other[c[a : a + PAIRS]]) for a in range(0, len(q), PAIRS)] or [np.zeros(0)])
+            keep = bound + reach * 1e-9 + 1e-6 >= least[q - s.start]
+            q, c, reach = q[keep], c[keep], reach[keep]
+        score = self.exact(q, y, c, reach)
+        keep = (score >= self.least[q]) & (self.rows[q] != rows[c])
+        return q[keep], score[keep], c[keep]
+
 
 def _matrix(values: list[bytes], d: int) -> np.ndarray:
     return np.frombuffer(b"".join(values), "<i8").reshape(len(values), d).astype(np.int64)
