@@ -5,9 +5,9 @@
    Bands of bins are hashed to bucket keys. Equal sets are one node from here on.
 2. In each bucket of two or more nodes, the smallest node is the hub and an edge goes to each other node (a star), so
    edges grow with the bucket and not with its square. Edges are confirmed on the full sets.
-3. What a star leaves open is settled in further rounds: nodes of a bucket that are not yet in one component get eight
-   times as many hubs in each round, and hubs that had their turn leave. Nested hub sets make sure that each two nodes
-   of a bucket were compared or are connected when the rounds end, which they do after log8(bucket size) at the latest;
+3. What a star leaves open is settled in further rounds: nodes of a bucket that are not yet in one component get
+   GROWTH times as many hubs in each round, and hubs that had their turn leave. Nested hub sets make sure that each two nodes
+   of a bucket were compared or are connected when the rounds end, which they do after log(bucket size) rounds, to the base GROWTH, at the latest;
    a bucket whose nodes are all connected ends at once. Two nodes are compared in the first bucket they share only, and
    only if an upper bound of what they share reaches the threshold. The bound is exact: a shingle that no other open
    node has is shared with none (heavily edited copies drop out without pairs), and of the others as many differ, at
@@ -40,7 +40,7 @@ U64 = np.uint64
 #: Bins in a band; nodes that are broadcast at most (of 16 bytes and a doc_id: a few MB).
 ROWS, BROADCAST = 5, 100_000
 #: Times the hubs of the round before; longs of 64 parity bits for each node.
-GROWTH, WORDS = 8, 8
+GROWTH, WORDS = 32, 8
 PARITY = [f"odd{k}" for k in range(WORDS)]
 
 
@@ -286,7 +286,7 @@ def linked(buckets: DataFrame, members: DataFrame, at_least: tuple[int, int]) ->
             rest = rest.filter(F.col("rest") * den >= F.col("n") * num)
             live = write_table(spark, rest.join(open_keys(rest), "key", "left_semi"), "live")
             before, left = left, live.select("node").distinct().count()
-            if left > 0.9 * before:  # fewer open nodes share fewer shingles: again while that drops many
+            if left > 0.5 * before:  # fewer open nodes share fewer shingles: again while that drops many
                 break
         turn += 1
         if not live.limit(1).count():
