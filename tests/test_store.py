@@ -145,3 +145,36 @@ def test_service(spark):
     with urllib.request.urlopen(f"http://127.0.0.1:{server.server_address[1]}/collections") as answer:
         assert json.load(answer)["result"] == {"collections": ["c"]}
     server.shutdown()
+
+
+@pytest.mark.parametrize(("index", "parameters"), [("IVF", {"nlist": 4, "nprobe": 2}), ("HNSW", {})])
+def test_index_outlives_flush_and_restart(spark, tmp_path, index, parameters):
+    rng = np.random.default_rng(1)
+    rows = [(f"p{i}", v.tolist(), {}) for i, v in enumerate(rng.normal(size=(60, 4)))]
+    query = rows[7][1]
+    with PersistentStore(spark, str(tmp_path / "s")) as store:
+        store.create("c", 4, "L2", index, parameters)
+        store.upsert_batch("c", rows)
+        store.build_index("c")
+        want = [r.id for r in store.search("c", query, 3).collect()]
+        held = store.points("c")
+        store.flush()
+        assert want[0] == "p7" and store.is_indexed("c") and [r.id for r in store.search("c", query, 3).collect()] == want
+        assert held.count() == 60  # what a user holds still reads
+    again = PersistentStore(spark, str(tmp_path / "s"))
+    assert again.is_indexed("c") and [r.id for r in again.search("c", query, 3).collect()] == want
+    if index == "IVF":
+        plan = again.search("c", query, 3)._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [cluster" in plan.replace("isnotnull(cluster#", "cluster#") or "PartitionFilters: [isnotnull(cluster" in plan
+    again.upsert("c", "new", query)
+    assert not again.is_indexed("c") and again.search("c", query, 1).first().id == "new"
+    assert not PersistentStore(spark, str(tmp_path / "s")).is_indexed("c")
+
+
+def test_order_decides_among_rows_of_a_frame(spark, store):
+    store.create("c", 2)
+    rows = spark.createDataFrame([("a", [float(i), 0.0], "{}", i) for i in range(50)], "id string, vector array<float>, payload string, turn int").repartition(5)
+    store.upsert_batch("c", rows, order="turn")
+    assert store.get("c", "a")["vector"] == [49.0, 0.0]
+    with pytest.raises(ValueError, match="occurs 50 times"):
+        store.upsert_batch("c", rows)

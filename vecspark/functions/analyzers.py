@@ -14,12 +14,18 @@ Analyzer = Callable[[Column], Column]
 
 #: English and Chinese stop words.
 ENGLISH_STOP_WORDS = (
-    "the a an is are was were be been being have has had do does did will would could should may might shall can need "
-    "dare ought used to of in for on with at by from as into through during before after above below between out off "
-    "over under again further then once here there when where why how all any both each few more most other some such "
-    "no nor not only own same so than too very and but or because until while it its"
-).split()
-CHINESE_STOP_WORDS = "的 了 在 是 我 有 和 就 不 人 都 一 一个 上 也 很 到 说 要 去 你 会 着 没有 看 好 自己 这 他 她 它".split()
+    "the", "a", "an", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did",
+    "will", "would", "could", "should", "may", "might", "shall", "can", "need", "dare", "ought", "used", "to", "of",
+    "in", "for", "on", "with", "at", "by", "from", "as", "into", "through", "during", "before", "after", "above",
+    "below", "between", "out", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when",
+    "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some", "such", "no", "nor",
+    "not", "only", "own", "same", "so", "than", "too", "very", "and", "but", "or", "because", "until", "while", "it",
+    "its",
+)
+CHINESE_STOP_WORDS = (
+    "的", "了", "在", "是", "我", "有", "和", "就", "不", "人", "都", "一", "一个", "上", "也", "很", "到", "说", "要", "去", "你", "会",
+    "着", "没有", "看", "好", "自己", "这", "他", "她", "它",
+)
 #: Runs of letters and digits; one ideograph; a run of ideographs.
 WORDS, IDEOGRAPH, IDEOGRAPHS = "([\\p{L}\\p{N}]+)", "[\\u4e00-\\u9fff\\u3400-\\u4dbf\\uf900-\\ufaff]", "([\\u4e00-\\u9fa5]+)"
 
@@ -30,9 +36,8 @@ def _grams(characters: Column, n: int) -> Column:
     return F.transform(places, lambda i: F.array_join(F.slice(characters, i, n), ""))
 
 
-def _not_stopped(terms: Column, stop: list[str]) -> Column:
-    words = F.array(*[F.lit(w) for w in stop])
-    return F.filter(terms, lambda t: ~F.array_contains(words, t))
+def _not_stopped(terms: Column, stop: tuple[str, ...]) -> Column:
+    return F.filter(terms, lambda t: ~t.isin(*stop))  # a hash set
 
 
 def simple(text: Column) -> Column:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vecspark.session import arrow_udf
+
 METRICS = ("L2", "IP", "COSINE", "HAMMING")
 
 
@@ -46,11 +48,17 @@ def cosine(a: Column, b: Column) -> Column:
 def hamming(a: Column, b: Column) -> Column:
     """The bits in which the 32-bit floats differ. Spark has no access to a float's bits, so this is an Arrow kernel."""
 
-    @F.pandas_udf("double")
+    @arrow_udf("double")
     def apart(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([float(np.bitwise_count(np.asarray(x, "<f4").view("u4") ^ np.asarray(y, "<f4").view("u4")).sum()) for x, y in zip(a, b, strict=True)])
+        flat = [np.concatenate([np.zeros(0, "<f4"), *v]).astype("<f4").view("u4") for v in (a, b)]  # pairs of one size: others fail before
+        n = a.map(len).to_numpy(np.int64)
+        total = np.concatenate([[0], np.cumsum(np.bitwise_count(flat[0] ^ flat[1]), dtype=np.int64)])
+        ends = np.cumsum(n)
+        return pd.Series((total[ends] - total[ends - n]).astype(float))
 
-    return same_size(a, b, apart(a, b))
+    fit = F.size(a) == F.size(b)
+    none = F.array().cast("array<float>")
+    return same_size(a, b, apart(F.when(fit, a).otherwise(none), F.when(fit, b).otherwise(none)))
 
 
 COLUMNS: dict[str, Callable[[Column, Column], Column]] = {"L2": l2, "IP": inner_product, "COSINE": cosine, "HAMMING": hamming}
@@ -96,7 +104,7 @@ def register(name: str, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray])
     """A distance of one's own: a function of two matrices that returns the matrix of distances of their rows."""
     KERNELS[name] = kernel
 
-    @F.pandas_udf("double")
+    @arrow_udf("double")
     def pairs(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([float(kernel(np.asarray(x, float)[None], np.asarray(y, float)[None])[0, 0]) for x, y in zip(a, b, strict=True)])
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.session import ship
+from vecspark.session import arrow_udf, ship
 
 
 class Bloom:
@@ -46,7 +46,7 @@ class Bloom:
     def matches(self, column: Column) -> Column:
         """Whether each id may be contained."""
 
-        @F.pandas_udf("boolean")
+        @arrow_udf("boolean")
         def run(ids: pd.Series) -> pd.Series:
             return pd.Series(self.might_contain(*ids) if len(ids) else [], dtype=bool)
 
@@ -100,7 +100,7 @@ def string_hash(text: str) -> int:
 def shard(id_column: Column, shards: int) -> Column:
     """The shard of each id, from 0 on: |string hash| modulo the number of shards."""
 
-    @F.pandas_udf("int")
+    @arrow_udf("int")
     def run(ids: pd.Series) -> pd.Series:
         return ids.map(lambda x: abs(string_hash(x)) % shards)
 

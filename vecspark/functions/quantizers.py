@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vecspark.session import arrow_udf
+
 #: A range smaller than this counts as 1, so that constant dimensions encode to 0.
 TINY = 1e-9
 
@@ -46,15 +48,17 @@ class Fp16(Quantizer):
         return 2 * self.dimension
 
     def encode(self, vector: Column) -> Column:
-        @F.pandas_udf("binary")
+        @arrow_udf("binary")
         def run(v: pd.Series) -> pd.Series:
             with np.errstate(over="ignore"):
-                return v.map(lambda x: None if x is None else np.asarray(x, "<f4").astype("<f2").tobytes())
+                half = np.concatenate([np.zeros(0, "<f4"), *v.dropna()]).astype("<f4").astype("<f2").tobytes()
+            ends = (2 * v.map(lambda x: 0 if x is None else len(x))).cumsum().tolist()
+            return pd.Series([None if x is None else half[a:b] for x, a, b in zip(v, [0, *ends[:-1]], ends, strict=True)], dtype=object)
 
         return run(vector)
 
     def decode(self, code: Column) -> Column:
-        @F.pandas_udf("array<float>")
+        @arrow_udf("array<float>")
         def run(c: pd.Series) -> pd.Series:
             return c.map(lambda x: None if x is None else np.frombuffer(x, "<f2").astype("<f4"))
 
@@ -165,7 +169,7 @@ class Product(Quantizer):
     def encode(self, vector: Column) -> Column:
         book = self._book()
 
-        @F.pandas_udf("binary")
+        @arrow_udf("binary")
         def run(v: pd.Series) -> pd.Series:
             x = np.stack(v.to_list()).astype(float).reshape(len(v), book.shape[0], -1) if len(v) else np.zeros((0, *book.shape[::2]))
             near = np.stack([((x[:, s, None] - book[s][None]) ** 2).sum(axis=2).argmin(axis=1) for s in range(len(book))], axis=1)
@@ -176,7 +180,7 @@ class Product(Quantizer):
     def decode(self, code: Column) -> Column:
         book = self._book()
 
-        @F.pandas_udf("array<float>")
+        @arrow_udf("array<float>")
         def run(c: pd.Series) -> pd.Series:
             return c.map(lambda x: np.concatenate([book[s][i] for s, i in enumerate(x)]).astype(np.float32))
 
@@ -187,7 +191,7 @@ class Product(Quantizer):
         book = self._book()
         square = ((np.asarray(query, float).reshape(len(book), 1, -1) - book) ** 2).sum(axis=2)
 
-        @F.pandas_udf("double")
+        @arrow_udf("double")
         def run(c: pd.Series) -> pd.Series:
             codes = np.frombuffer(b"".join(c), np.uint8).reshape(len(c), -1)
             return pd.Series(np.sqrt(square[np.arange(len(book))[None], codes].sum(axis=1)))

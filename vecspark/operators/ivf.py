@@ -7,16 +7,22 @@ clusters become a literal list, which prunes partitions at the scan.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vecspark.functions import distance
 from vecspark.operators.search import knn
 from vecspark.plans.filters import Filter
+from vecspark.session import arrow_udf
+
+
+#: Files of a cluster at most, so that a large one isn't written by one task.
+SPREAD = 8
 
 
 def kmeans(points: DataFrame, k: int, max_iter: int = 20, tol: float = 1e-4, seed: int = 42, vector: str = "vector") -> np.ndarray:
@@ -46,7 +52,7 @@ def nearest_centroid(vector: Column, centroids: np.ndarray, metric: str = "L2")
     """The number of the nearest centroid; of equal ones the first."""
     kernel = distance.KERNELS[metric]
 
-    @F.pandas_udf("int")
+    @arrow_udf("int")
     def run(v: pd.Series) -> pd.Series:
         return pd.Series(kernel(np.stack(v.to_list()).astype(float), np.asarray(centroids, float)).argmin(axis=1) if len(v) else [], dtype="int32")
 
@@ -96,8 +102,18 @@ class IvfIndex:
         return IvfIndex(self.points.filter(~F.col(self.id_col).isin(list(ids))), self.centroids, self.metric, self.probe, self.id_col, self.vector_col)
 
     def write(self, path: str) -> None:
-        """A layout that a search prunes: one folder a cluster."""
-        self.points.repartition("cluster").write.mode("overwrite").partitionBy("cluster").parquet(path)
+        """A layout that a search prunes: one folder a cluster, of up to SPREAD files."""
+        spread = F.pmod(F.xxhash64(self.id_col), F.lit(SPREAD))
+        self.points.repartition("cluster", spread).write.mode("overwrite").partitionBy("cluster").parquet(path)
+
+    def stored(self, path: str) -> IvfIndex:
+        """The index on its own files: points stay assigned, and a search reads the folders of its clusters alone."""
+        self.write(path)
+        return replace(self, points=read_layout(self.points.sparkSession, path, self.points.schema))
+
+
+def read_layout(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(schema).parquet(path)
 
 
 def build_ivf(points: DataFrame, nlist: int = 64, nprobe: int = 8, max_iter: int = 20, metric: str = "L2", id_col: str = "id", vector_col: str = "vector", centroids: np.ndarray | None = None, seed: int = 42) -> IvfIndex:

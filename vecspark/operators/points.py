@@ -50,7 +50,9 @@ def scroll(points: DataFrame, limit: int, after=None, where: Filter | None = Non
 
 
 def latest(base: DataFrame, log: DataFrame, id_col: str = "id") -> DataFrame:
-    """The points after a change log (seq, op of UPSERT or DELETE, and the points' columns) on top of base."""
-    old = base.withColumns({"seq": F.lit(-1).cast("long"), "op": F.lit("UPSERT")})
-    last = last_of_each(old.unionByName(log.withColumn("seq", F.col("seq").cast("long"))), "seq", id_col)
-    return last.filter("op = 'UPSERT'").drop("seq", "op")
+    """The points after a change log (seq, op of UPSERT or DELETE, and the points' columns) on top of base.
+
+    base is only filtered by the log's ids, not sorted; where the log is small enough, Spark broadcasts them.
+    """
+    last = last_of_each(log.withColumn("seq", F.col("seq").cast("long")), "seq", id_col).filter("op = 'UPSERT'").drop("seq", "op")
+    return base.join(log.select(id_col).distinct(), id_col, "left_anti").select(*base.columns).unionByName(last)

@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -29,6 +30,18 @@ def ship(spark: SparkSession) -> None:
     sc._vecspark_shipped = True
 
 
+def arrow_udf(returns: str):
+    """pandas_udf for functions of this package: the session at hand gets the package first."""
+
+    def wrap(function):
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            ship(spark)
+        return F.pandas_udf(returns)(function)
+
+    return wrap
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or (in local mode only, where it is unset) one of our own."""
     sc = spark.sparkContext

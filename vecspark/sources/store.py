@@ -16,10 +16,12 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field, replace
 from typing import Any
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,11 +29,14 @@ from pyspark.sql import types as T
 from vecspark.functions.distance import METRICS
 from vecspark.operators import points as ops
 from vecspark.operators.graph import build_graphs, search_graphs
-from vecspark.operators.ivf import build_ivf
+from vecspark.operators.ivf import IvfIndex, build_ivf, read_layout
 from vecspark.operators.search import hydrate, knn, knn_batch
 from vecspark.plans.filters import Filter, VariantPayload, compiled, parse_filter
+from vecspark.session import shared_dir, ship, write_table
 
 POINT = T.StructType([T.StructField("id", T.StringType(), False), T.StructField("vector", T.ArrayType(T.FloatType()), False), T.StructField("payload", T.StringType())])
+CLUSTERED = T.StructType([*POINT.fields, T.StructField("cluster", T.IntegerType())])
+CENTROID, GRAPH = "cluster int, centroid array<float>", "part int, graph binary, n long"
 INDEXES = ("FLAT", "HNSW", "IVF")
 #: Default parameters by index type.
 PARAMETERS = {"FLAT": {}, "HNSW": {"M": 16, "efConstruction": 200, "efSearch": 50}, "IVF": {"nlist": 64, "nprobe": 8, "maxIter": 20}}
@@ -77,6 +82,7 @@ class MemoryStore:
     """A store whose collections live as DataFrames (checkpointed to the shared folder when their plans grow)."""
 
     def __init__(self, spark: SparkSession):
+        ship(spark)
         self.spark = spark
         self.schemas: dict[str, Schema] = {}
         self.frames: dict[str, DataFrame] = {}
@@ -131,10 +137,18 @@ class MemoryStore:
     def upsert(self, name: str, id: str, vector: Sequence[float], payload: dict | None = None) -> None:
         self.upsert_batch(name, [(id, vector, payload)])
 
-    def upsert_batch(self, name: str, rows: Sequence[tuple] | DataFrame) -> None:
-        """Insert or replace points whole; of rows of one id the last wins. The whole batch is checked first."""
+    def upsert_batch(self, name: str, rows: Sequence[tuple] | DataFrame, order: str | None = None) -> None:
+        """Insert or replace points whole; of rows of one id the last wins. The whole batch is checked first.
+
+        The rows of a DataFrame have no order but that of a column: order names it, and the highest of an id wins.
+        Without it, ids that occur twice are refused.
+        """
         schema = self._need(name)
         if isinstance(rows, DataFrame):
+            if order is not None:
+                rows = ops.last_of_each(rows, order)
+            elif twice := rows.groupBy("id").count().filter("count > 1").first():
+                raise ValueError(f"id {twice['id']} occurs {twice['count']} times; name an order column")
             checked = rows.withColumn("vector", F.when(F.size("vector") == schema.dimension, F.col("vector")).otherwise(F.raise_error(F.lit("wrong dimension")).cast("array<float>")))
             self._change(name, checked.select(*POINT.names))
             return
@@ -214,14 +228,34 @@ class MemoryStore:
         return knn_batch(self._points(name), asked, k, schema.metric, self._filter(where), payload="payload").withColumnRenamed("query_id", "query")
 
     def build_index(self, name: str) -> None:
+        """Build the index on files of its own, which later changes and checkpoints of the points leave alone."""
         schema = self._need(name)
         own, p = self._points(name), schema.parameters
+        if schema.index == "FLAT":
+            self.built[name] = None
+            return
+        path = self._index_path(name)
         if schema.index == "IVF":
-            self.built[name] = build_ivf(own, p["nlist"], p["nprobe"], p["maxIter"], schema.metric)
-        elif schema.index == "HNSW":
-            self.built[name] = build_graphs(own, schema.metric, p["M"], p["efConstruction"])
+            index = build_ivf(own, p["nlist"], p["nprobe"], p["maxIter"], schema.metric)
+            self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(index.centroids)], CENTROID).coalesce(1).write.parquet(f"{path}/centroids")
+            self.built[name] = index.stored(f"{path}/points")
         else:
-            self.built[name] = None
+            build_graphs(own, schema.metric, p["M"], p["efConstruction"]).write.parquet(f"{path}/graphs")
+            self.built[name] = self._load_index(schema, path)
+        self._indexed(name, path)
+
+    def _load_index(self, schema: Schema, path: str):
+        if schema.index == "IVF":
+            rows = self.spark.read.schema(CENTROID).parquet(f"{path}/centroids").orderBy("cluster").collect()  # nlist rows
+            centroids = np.array([r["centroid"] for r in rows], np.float32).reshape(len(rows), -1)
+            return IvfIndex(read_layout(self.spark, f"{path}/points", CLUSTERED), centroids, schema.metric, schema.parameters["nprobe"])
+        return self.spark.read.schema(GRAPH).parquet(f"{path}/graphs")
+
+    def _index_path(self, name: str) -> str:
+        return f"{shared_dir(self.spark)}/vecspark/index-{uuid.uuid4().hex[:12]}"
+
+    def _indexed(self, name: str, path: str) -> None:
+        pass
 
     def is_indexed(self, name: str) -> bool:
         """Whether the index was built and nothing was written since."""
@@ -292,23 +326,27 @@ class MemoryStore:
         return self.frames[name]
 
     def _settle(self, name: str, df: DataFrame) -> None:
-        from vecspark.session import write_table
-
         self.frames[name] = write_table(self.spark, df, "collection")
         self.built.pop(name, None)
 
     def _change(self, name: str, new: DataFrame) -> None:
-        self._settle(name, ops.upsert(self._points(name), new.dropDuplicates(["id"])))
+        self._settle(name, ops.upsert(self._points(name), new))
 
     def _delete(self, name: str, ids: DataFrame) -> None:
         self._settle(name, ops.delete(self._points(name), ids))
 
+    def apply(self, name: str, changes: DataFrame) -> None:
+        """Upserts and deletes (op, id, vector, payload; an id once) as one change."""
+        self._need(name)
+        new = changes.filter("op = 'UPSERT'").select(*POINT.names)
+        self._settle(name, ops.delete(self._points(name), changes).unionByName(new))
+
 
 class PersistentStore(MemoryStore):
     def __init__(self, spark: SparkSession, path: str, checkpoint_every: int = 1000):
         super().__init__(spark)
         self.path, self.checkpoint_every = path.rstrip("/"), checkpoint_every
-        self.state: dict[str, dict[str, int]] = {}
+        self.state: dict[str, dict[str, Any]] = {}
         self._recover()
 
     def _fs(self, path: str):
@@ -332,6 +370,24 @@ class PersistentStore(MemoryStore):
                 entry = json.loads(self.spark.read.text(f"{self.path}/catalog/{name}/rev={revisions[-1]}").first()[0])
                 self.state[name] = entry["state"] | {"rev": revisions[-1]}
                 self.schemas[name] = Schema(**entry["schema"])
+                if "index" in entry["state"] and entry["state"]["index"]["after"] == self._last(name):  # nothing was written since
+                    self.built[name] = self._load_index(self.schemas[name], entry["state"]["index"]["path"])
+
+    def _last(self, name: str) -> int:
+        """The number of the last change."""
+        return max([self.state[name]["first"] - 1, *self._pending(name)])
+
+    def _index_path(self, name: str) -> str:
+        old = [int(n.split("=")[1]) for n in self._children(f"{self.path}/index/{name}", done=False)]
+        return f"{self.path}/index/{name}/n={max(old, default=-1) + 1}"
+
+    def _indexed(self, name: str, path: str) -> None:
+        """The catalog's new revision puts the new index in place of the old one at once; the one before that goes."""
+        self.state[name]["index"] = {"path": path, "after": self._last(name)}
+        self._saved(name)
+        head, number = path.rsplit("=", 1)
+        fs, p = self._fs(f"{head}={int(number) - 2}")
+        fs.delete(p, True)
 
     def _saved(self, name: str) -> None:
         state = self.state[name]
@@ -346,7 +402,7 @@ class PersistentStore(MemoryStore):
 
     def _remove(self, name: str) -> None:
         del self.state[name]
-        for part in ("catalog", "base", "log"):
+        for part in ("catalog", "base", "log", "index"):
             fs, p = self._fs(f"{self.path}/{part}/{name}")
             fs.delete(p, True)
 
@@ -368,30 +424,35 @@ class PersistentStore(MemoryStore):
         return base if log is None else ops.latest(base, log)
 
     def _append(self, name: str, rows: DataFrame) -> None:
-        last = self._numbers(f"{self.path}/log/{name}")
+        last = [int(n.split("=")[1]) for n in self._children(f"{self.path}/log/{name}", done=False) if "=" in n]  # cut-off ones too
         seq = max([self.state[name]["first"] - 1, *last]) + 1
-        rows.select("op", *POINT.names).write.mode("overwrite").parquet(f"{self.path}/log/{name}/seq={seq}")
+        rows.select("op", *POINT.names).write.mode("errorifexists").parquet(f"{self.path}/log/{name}/seq={seq}")  # another writer's change stays
         self.built.pop(name, None)
         if len(self._pending(name)) >= self.checkpoint_every:
             self._checkpoint(name)
 
     def _change(self, name: str, new: DataFrame) -> None:
-        self._append(name, new.dropDuplicates(["id"]).withColumn("op", F.lit("UPSERT")))
+        self._append(name, new.withColumn("op", F.lit("UPSERT")))
 
     def _delete(self, name: str, ids: DataFrame) -> None:
         self._append(name, ids.select(F.lit("DELETE").alias("op"), "id", F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("payload")))
 
+    def apply(self, name: str, changes: DataFrame) -> None:
+        self._need(name)
+        self._append(name, changes)
+
     def _checkpoint(self, name: str) -> None:
+        """A new base version. The version before and its log stay until the next one: DataFrames at hand still read them."""
         own = self._pending(name)
         if not own:
             return
         state = self.state[name]
         version = state["version"] + 1
         self._points(name).write.mode("overwrite").parquet(f"{self.path}/base/{name}/v={version}")
-        old = state["version"]
+        gone = [n for n in self._numbers(f"{self.path}/log/{name}") if n < state["first"]]
         state |= {"version": version, "first": own[-1] + 1}
         self._saved(name)
-        for path in [f"{self.path}/base/{name}/v={old}", *[f"{self.path}/log/{name}/seq={n}" for n in own]]:
+        for path in [f"{self.path}/base/{name}/v={version - 2}", *[f"{self.path}/log/{name}/seq={n}" for n in gone]]:
             fs, p = self._fs(path)
             fs.delete(p, True)
 

@@ -21,17 +21,10 @@ def read_changes(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 
 def apply_batch(store: MemoryStore, collection: str, events: DataFrame) -> None:
-    last = last_of_each(events, "seq")
-    last.persist()
-    try:
-        new = last.filter("op = 'UPSERT'").select("id", "vector", F.coalesce("payload", F.lit("{}")).alias("payload"))
-        gone = last.filter("op = 'DELETE'").select("id")
-        if not new.isEmpty():
-            store.upsert_batch(collection, new)
-        if not gone.isEmpty():
-            store._delete(collection, gone)
-    finally:
-        last.unpersist()
+    last = last_of_each(events, "seq").filter("op in ('UPSERT', 'DELETE')")
+    size = store.schema(collection).dimension
+    fit = F.when((F.col("op") == "DELETE") | (F.size("vector") == size), F.col("vector")).otherwise(F.raise_error(F.lit("wrong dimension")).cast("array<float>"))
+    store.apply(collection, last.select("op", "id", fit.alias("vector"), F.coalesce("payload", F.lit("{}")).alias("payload")))
 
 
 def follow(store: MemoryStore, collection: str, changes: DataFrame, checkpoint: str, available_now: bool = True, every: str = "10 seconds") -> StreamingQuery:
