@@ -29,7 +29,7 @@ from vecspark.llm import textscan
 from vecspark.session import ship
 
 #: Text bytes that are encoded together: the words of so much text form one trie.
-TOGETHER = 4 << 20
+TOGETHER = 3 << 20
 #: Words, and chunks, that a task remembers at most (some 150 and 40 bytes each); it then forgets.
 WORDS, CHUNKS = 200_000, 1_000_000
 U64 = np.uint64

@@ -170,6 +170,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
     ids = docs.select(docs[doc_id].cast("long").alias("sample_id")).orderBy(F.xxhash64("sample_id"), "sample_id").limit(sample)
     picked = F.broadcast(spark.createDataFrame([(x,) for x in {r[0] for r in ids.collect()}], "sample_id long"))
     rows = docs.select(docs[doc_id].cast("long").alias("sample_id"), docs[text].cast("string").alias("text")).join(picked, "sample_id")
+    rows = rows.groupBy("sample_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of an id's texts one, so at most sample rows
 
     def extract(batches):
         for b in batches:
@@ -177,7 +178,7 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: i
             packed = [np.stack([columns[x:y].astype("<f4"), values[x:y].astype("<f4")]).tobytes() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cast), pa.array(packed, pa.binary())], ["sample_id", "votes", "features"])
 
-    own = sorted(tuple(r.values()) for r in rows.select("sample_id", "text").mapInArrow(textscan.lean(extract), "sample_id long, votes long, features binary").toArrow().to_pylist())[: 2 * sample]
+    own = sorted(tuple(r.values()) for r in rows.select("sample_id", "text").mapInArrow(textscan.lean(extract), "sample_id long, votes long, features binary").toArrow().to_pylist())
     y = np.array([posterior[v] for _, v, _ in own])
     if len(y) < 2 or y.max() < 0.5 or y.min() > 0.5:
         return posterior, None, 0.0

@@ -18,7 +18,7 @@ from pyspark.sql import SparkSession
 #: ASCII white space: space and \\t to \\r.
 SPACES = bytes([32, *range(9, 14)])
 #: Bytes and rows of an Arrow batch that Spark hands to Python.
-BATCH_BYTES, BATCH_ROWS = 2 << 20, 4096
+BATCH_BYTES, BATCH_ROWS = 1 << 20, 4096
 #: Bytes hashed at once; the powers of the hash's base are kept for so many positions.
 BLOCK = 1 << 17
 

@@ -80,7 +80,9 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
             raw, at = columns.astype("<u4").tobytes(), (cuts * 4).tolist()
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["label_id", "label", "features"])
 
-    table = rows.select(docs[text].cast("string").alias("text"), "label_id", "label").mapInArrow(textscan.lean(run), "label_id long, label int, features binary").toArrow()
+    texts = rows.select(docs[text].cast("string").alias("text"), "label_id", "label")
+    texts = texts.groupBy("label_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("text", "label_id", "label")  # of an id's texts one: at most 2 * per_class rows
+    table = texts.mapInArrow(textscan.lean(run), "label_id long, label int, features binary").toArrow()
     own = sorted(zip(table["label_id"].to_pylist(), table["label"].to_pylist(), table["features"].to_pylist(), strict=True))
     y = np.array([r[1] for r in own], float)
     if not 0 < y.sum() < len(y):
