@@ -41,10 +41,10 @@ def test_query(spark, db, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(LARGE), reason="needs the test tables")
-@pytest.mark.parametrize("kind", ["pq", "hnsw", "diskann"])
+@pytest.mark.parametrize("kind", ["pq", "ivf", "hnsw", "diskann"])
 def test_recall_of_registered_settings(spark, kind):
     """Against brute force, with what the registered query searches; over queries that the query itself doesn't ask."""
-    search = queries._pq(spark, LARGE) if kind == "pq" else queries._graphs(spark, LARGE, kind == "hnsw")
+    search = getattr(queries, f"_{kind}")(spark, LARGE) if kind in ("pq", "ivf") else queries._graphs(spark, LARGE, kind == "hnsw")
     own = sorted(spark.read.parquet(f"{LARGE}/embeddings.parquet").select("vec_id", "embedding").collect())
     ids, vectors = [r[0] for r in own], np.array([r[1] for r in own], float)
     asked, found = range(0, len(own), len(own) // 8), 0
@@ -56,6 +56,15 @@ def test_recall_of_registered_settings(spark, kind):
     assert found >= 0.9 * 10 * len(asked)
 
 
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="needs the test tables")
+def test_membership_of_all_documents(spark):
+    got = {r.doc_id: r.present for r in QUERIES["bloom_membership"](spark, LARGE).collect()}
+    inside = {r[0] for r in spark.read.parquet(f"{LARGE}/labels.parquet").select("doc_id").collect()}
+    others = [i for i in got if i not in inside]
+    assert len(got) == spark.read.parquet(f"{LARGE}/documents.parquet").count() and others
+    assert all(got[i] for i in inside if i in got) and sum(got[i] for i in others) <= 0.02 * len(others)
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -507,10 +507,14 @@ def _(spark, sf):
     return rounded(index.search(asked(spark, sf), 10)).select("id", "score")
 
 
+def _ivf(spark, sf) -> Callable[[list[float]], DataFrame]:
+    index = ivf.build_ivf(points(spark, sf).select("id", "vector"), nlist=16, nprobe=12)
+    return lambda one: index.search(one, 10).select("id", "score")
+
+
 @query("ivf_kmeans_search")
 def _(spark, sf):
-    index = ivf.build_ivf(points(spark, sf), nlist=16, nprobe=12)
-    return index.search(asked(spark, sf), 10).select("id", "score")
+    return _ivf(spark, sf)(asked(spark, sf))
 
 
 def _graphs(spark, sf, layered: bool) -> Callable[[list[float]], DataFrame]:
