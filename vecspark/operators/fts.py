@@ -7,16 +7,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecspark.functions.analyzers import ANALYZERS, Analyzer
+from vecspark.session import spread
 
 K1, B = 1.5, 0.75
 
 
-def occurrences(term: str):
-    return F.size(F.filter("terms", lambda t: t == term))
+def occurrences(terms: Column, term: str) -> Column:
+    return F.size(F.filter(terms, lambda t: t == term))
 
 
 class FtsIndex:
@@ -24,7 +25,7 @@ class FtsIndex:
 
     def __init__(self, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", analyzer: str | Analyzer = "simple"):
         self.analyze = ANALYZERS[analyzer] if isinstance(analyzer, str) else analyzer
-        self.documents = documents.filter(documents[id_col].isNotNull() & documents[text_col].isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("content"))
+        self.documents = spread(documents.filter(documents[id_col].isNotNull() & documents[text_col].isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("content")))
         self.terms = self.documents.select("doc_id", self.analyze(F.col("content")).alias("terms"))
 
     def add(self, documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> FtsIndex:
@@ -37,15 +38,17 @@ class FtsIndex:
 
     def tokens(self) -> DataFrame:
         """doc_id, pos (from 0), term."""
-        return self.terms.select("doc_id", F.posexplode("terms").alias("pos", "term"))
+        return self.terms.select("doc_id", F.posexplode_outer("terms").alias("pos", "term")).filter("pos is not null")
 
     def postings(self) -> DataFrame:
         """doc_id, term, tf."""
-        return self.terms.select("doc_id", F.explode("terms").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+        each = self.terms.select("doc_id", F.explode_outer("terms").alias("term"))  # explode would analyze twice, once for a filter
+        return each.filter("term is not null").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
     def document_frequencies(self) -> DataFrame:
         """term, df."""
-        return self.terms.select(F.explode(F.array_distinct("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        each = self.terms.select(F.explode_outer(F.array_distinct("terms")).alias("term"))
+        return each.filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
 
     def lengths(self) -> DataFrame:
         """doc_id, length in terms."""
@@ -62,13 +65,14 @@ class FtsIndex:
     def scores(self, query: str, k1: float = K1, b: float = B) -> DataFrame:
         """doc_id, score, content of every document with a term of the query; a repeated term counts each time.
 
-        One scan: each row's counts of the query's terms are looked up in its term array, the statistics are one
-        aggregation of the same scan, and nothing but its one row is joined.
+        Two scans, for the statistics and for the scores, and no join: a row's counts of the query's terms are looked up
+        in its term array. A row's text is analyzed once in each: the generator keeps the optimizer from repeating the
+        analysis in every expression and filter above it.
         """
         asked = self.query_terms(query)
         terms = sorted(set(asked))
-        own = self.documents.select("doc_id", "content", self.analyze(F.col("content")).alias("terms"))
-        own = own.select("doc_id", "content", F.size("terms").alias("length"), *[occurrences(w).alias(f"tf_{i}") for i, w in enumerate(terms)])
+        counted = F.transform(F.array(self.analyze(F.col("content"))), lambda t: F.struct(F.size(t).alias("length"), *[occurrences(t, w).alias(f"tf_{i}") for i, w in enumerate(terms)]))
+        own = self.documents.select("doc_id", "content", F.inline_outer(counted))
         if not terms:
             return own.select("doc_id", F.lit(0.0).alias("score"), "content").limit(0)
         stats = own.agg(F.count("*").alias("n"), F.avg("length").alias("avgdl"), *[F.sum((F.col(f"tf_{i}") > 0).cast("long")).alias(f"df_{i}") for i in range(len(terms))]).first()  # one row

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from vecspark.functions import distance
 from vecspark.session import ship, write_table
 
-#: Points of a part at most, about; a graph's memory is bounded by it.
-PART = 20_000
+#: Points of a part at most, about; a graph's memory is bounded by it. Fewer points make a part for each core, from LEAST points on.
+PART, LEAST = 20_000, 250
 
 
 @dataclass
@@ -125,7 +125,8 @@ def build_graphs(points: DataFrame, metric: str = "L2", degree: int = 16, build_
     """part, graph (packed), n: one row a part, in a table under the shared folder."""
     spark = points.sparkSession
     ship(spark)
-    parts = max(1, -(-points.count() // part))
+    n = points.count()
+    parts = max(1, -(-n // part), min(spark.sparkContext.defaultParallelism, n // LEAST))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
@@ -133,6 +134,7 @@ def build_graphs(points: DataFrame, metric: str = "L2", degree: int = 16, build_
         return pd.DataFrame({"part": [pdf["part"].iloc[0]], "graph": [pickle.dumps((pdf["id"].to_list(), graph))], "n": [len(pdf)]})
 
     own = points.select(points[id_col].alias("id"), points[vector_col].alias("vector"), F.pmod(F.xxhash64(points[id_col]), F.lit(parts)).cast("int").alias("part"))
+    own = own.repartitionById(parts, "part")  # a task each
     return write_table(spark, own.groupBy("part").applyInPandas(build, "part int, graph binary, n long"), "graphs")
 
 

@@ -31,6 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+
+
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "source", "n_chars")
@@ -165,7 +169,7 @@ def _(spark, sf):
 
 def _knn(metric: str, k: int = 10, where: Filter | None = None, max_distance: float | None = None) -> Query:
     def run(spark, sf):
-        own = points(spark, sf)
+        own = vectors(spark, sf) if where is None else points(spark, sf)
         return rounded(knn(own, asked(spark, sf), k, metric, where, max_distance)).select("id", "score")
 
     return run
@@ -215,7 +219,7 @@ QUERIES["knn_zero_k"], ORACLE_SQL["knn_zero_k"] = _knn("L2", 0), _knn_sql("L2",
 
 def _batch(metric: str, where: Filter | None = None) -> Query:
     def run(spark, sf):
-        own = points(spark, sf)
+        own = vectors(spark, sf) if where is None else points(spark, sf)
         queries = table(spark, sf, "embeddings").filter(F.col("vec_id") % 25 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
         return rounded(knn_batch(own, queries, 10, metric, where))
 
@@ -365,7 +369,7 @@ def _(spark, sf):
 
 def _channels(spark, sf):
     q = asked(spark, sf)
-    near = knn(points(spark, sf), q, 20, "L2").select("id", "score")
+    near = knn(vectors(spark, sf), q, 20, "L2").select("id", "score")
     text = _fts(spark, sf).search("license thand", 20).select(F.col("doc_id").alias("id"), "score")
     return [fusion.Channel(near, 0.7), fusion.Channel(text, 0.3, ascending=False)]
 
@@ -502,13 +506,13 @@ def _(spark, sf):
 near AS (SELECT cluster FROM c, q ORDER BY list_distance(v, q::DOUBLE[]), cluster LIMIT 3)
 SELECT vec_id AS id, round(list_distance(embedding::DOUBLE[], q::DOUBLE[]), 6) AS score FROM a, q WHERE cluster IN (SELECT cluster FROM near) ORDER BY list_distance(embedding::DOUBLE[], q::DOUBLE[]), vec_id LIMIT 10""")
 def _(spark, sf):
-    own = points(spark, sf).select("id", "vector")
+    own = vectors(spark, sf)
     index = ivf.build_ivf(own, nprobe=3, centroids=_means(spark, sf))
     return rounded(index.search(asked(spark, sf), 10)).select("id", "score")
 
 
 def _ivf(spark, sf) -> Callable[[list[float]], DataFrame]:
-    index = ivf.build_ivf(points(spark, sf).select("id", "vector"), nlist=16, nprobe=12)
+    index = ivf.build_ivf(vectors(spark, sf), nlist=16, nprobe=12)
     return lambda one: index.search(one, 10).select("id", "score")
 
 
@@ -518,7 +522,7 @@ def _(spark, sf):
 
 
 def _graphs(spark, sf, layered: bool) -> Callable[[list[float]], DataFrame]:
-    graphs = graph.build_graphs(points(spark, sf).select("id", "vector"), "L2", 8, 40, layered)
+    graphs = graph.build_graphs(vectors(spark, sf), "L2", 8, 40, layered)
     return lambda one: graph.search_graphs(graphs, one, 10, 50, "long")
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
+#: Bytes of files that may lie in fewer row groups, and so fewer tasks, than there are cores.
+SMALL_INPUT = 32 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -54,6 +56,17 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small input in few files dealt over all cores, for work that costs far more than moving them.
+
+    A file of one row group is one task however many cores there are. Larger inputs have row groups enough and stay as
+    they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size <= SMALL_INPUT and 0 < len(df.inputFiles()) < cores else df
+
+
 def write_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it again: cuts lineage, survives lost executors."""
     return read_table(spark, save_table(spark, df, name), df)
