@@ -13,6 +13,7 @@ library: BPE with an end-of-word suffix over byte-level symbols); nothing is tra
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
@@ -200,7 +201,7 @@ class Encoder:
         model = config["model"]
         if model["type"] != "BPE" or model.get("end_of_word_suffix") != WordTrie.END or config.get("decoder"):
             raise ValueError(f"{file} is not a BPE vocabulary with an end-of-word suffix and no decoder")
-        self.trie = WordTrie(model["vocab"], model["merges"])
+        self.load(text, model)
         self.config = config | {"model": model | {"vocab": {}, "merges": []}, "added_tokens": []}
         self.special = {t["content"]: t["id"] for t in config["added_tokens"]}
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or "(?!)")
@@ -212,6 +213,13 @@ class Encoder:
         self.code = "H" if len(self.name) <= 1 << 16 else "I"  # of the packed ids
         self.words: dict[bytes, bytes] = {}
 
+    def load(self, text: str, model: dict) -> None:
+        self.trie = WordTrie(model["vocab"], model["merges"])
+
+    def encode_words(self, words: list[bytes]) -> Iterable[list[int]]:
+        """The ids of each word; words are sorted and distinct."""
+        return self.trie.encode(words)
+
     @cached_property
     def whole(self):
         """The library's own normaliser and pre-tokenizer, for texts beyond the plain characters; loaded when needed."""
@@ -248,10 +256,25 @@ class Encoder:
             known.clear()
         cut = [self.parts(c) for c in chunks]
         fresh = sorted({w for parts in cut for w in parts if w.__class__ is bytes and w not in known})
-        known.update(zip(fresh, (array(code, ids).tobytes() for ids in self.trie.encode(fresh)), strict=True))
+        known.update(zip(fresh, (array(code, ids).tobytes() for ids in self.encode_words(fresh)), strict=True))
         return [known[parts[0]] if len(parts) == 1 and parts[0].__class__ is bytes else b"".join([known[w] if w.__class__ is bytes else array(code, [w]).tobytes() for w in parts]) for parts in cut]
 
 
+class LibraryEncoder(Encoder):
+    """The same, with the library's own model for each distinct word in place of the trie."""
+
+    SYMBOLS = "".join(byte_symbols())
+
+    def load(self, text: str, model: dict) -> None:
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_str(text).model
+
+    def encode_words(self, words: list[bytes]) -> Iterable[list[int]]:
+        cut, shown = self.model.tokenize, codecs.charmap_decode
+        return ([t.id for t in cut(shown(w, "strict", self.SYMBOLS)[0])] for w in words)
+
+
 @lru_cache(maxsize=1)
 def encoder(file: str) -> Encoder:
     """The encoder of a vocabulary file, for use outside tasks."""
@@ -296,8 +319,8 @@ class Memory:
     Beyond the limit it forgets the chunks that one batch alone has had.
     """
 
-    def __init__(self, file: str, limit: int = CHUNKS):
-        self.encoder, self.limit = Encoder(SparkFiles.get(file) if "/" not in file else file), limit  # a file sent with addFile
+    def __init__(self, file: str, limit: int = CHUNKS, encoder: type[Encoder] = Encoder):
+        self.encoder, self.limit = encoder(SparkFiles.get(file) if "/" not in file else file), limit  # a file sent with addFile
         self.hashes, self.numbers = np.zeros(0, U64), np.zeros(0, np.int32)  # ascending hashes, and each one's number
         self.uses = np.zeros(0, np.int32)
         self.flat, self.ends = bytearray(), array("q", [0])  # packed ids of all numbers

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.llm import textscan
-from vecspark.llm.bpe import Memory, chunks_of, send_vocabulary, together
+from vecspark.llm.bpe import LibraryEncoder, Memory, chunks_of, send_vocabulary, together
 from vecspark.session import ship, write_table
 
 END_ID, CAPACITY = 1, 4096
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        store, task, seen = Memory(name), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        store, task, seen = Memory(name, encoder=LibraryEncoder), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in together(batches):
             raw, starts, ends, hashes, first = chunks_of(batch.column(1))
             ids, before = store.joined(store.look_up(raw, starts, ends, hashes))
