@@ -441,6 +441,57 @@ def test_line_dedup(spark, odd, empty, monkeypatch):
     assert line_dedup.dedup_lines(odd).count() == odd.count() and line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_doubtful_lines_need_no_second_pass(spark, monkeypatch):
+    """All candidates of lines whose best one is in doubt are verified at once, unless there is no room for them."""
+    rng = random.Random(4)
+    base = [[f"t{rng.randrange(90)}" for _ in range(rng.randrange(10, 24))] for _ in range(30)]
+
+    def line():
+        own = list(rng.choice(base))
+        for _ in range(rng.randrange(5)):
+            own[rng.randrange(len(own))] = f"new{rng.randrange(400)}"
+        return " ".join(own)
+
+    rows = [(i, "\n".join(line() for _ in range(5))) for i in range(150)]
+    df, want, passes, plain = spark.createDataFrame(rows, "doc_id long, text string"), brute_lines(rows), [], line_dedup.matched
+    monkeypatch.setattr(line_dedup, "matched", lambda *a: passes.append(a[-1]) or plain(*a))
+    monkeypatch.setattr(line_dedup, "FREQUENT", 4)
+    monkeypatch.setattr(line_dedup, "BEST", 1)
+    for spare, expected in ((line_dedup.SPARE, 1), (0, 2)):
+        monkeypatch.setattr(line_dedup, "SPARE", spare)
+        passes.clear()
+        assert {r.doc_id: (r.n_removed, r.text_sha256) for r in line_dedup.dedup_lines(df).collect()} == want and len(passes) == expected
+
+
+def test_bucket_keeps_few_sure_pairs():
+    """Of near copies a few pairs a line, of doubtful lines all, but in proportion to the lines."""
+    p = np.zeros(300, line_dedup.POSTING)
+    p["key"], p["n"], p["doc"], p["node"] = 5, 40, np.arange(300), np.arange(300)
+    best = line_dedup.BEST, line_dedup.SPARE, line_dedup.SURE
+    assert line_dedup.in_bucket(p, 80, 100, best).num_rows <= 300 * line_dedup.BEST  # not all 44,850
+    p["bits"][:, 0] = [sum(1 << int(b) for b in np.random.default_rng(k).choice(64, 3, replace=False)) for k in range(300)]
+    assert line_dedup.in_bucket(p, 80, 100, best).num_rows <= 300 * line_dedup.SPARE
+    got = line_dedup.in_bucket(p[:8], 80, 100, best)
+    assert got.num_rows == 28 and all(got.column("whole").to_pylist())
+    got = line_dedup.in_bucket(p[:20], 80, 100, (1, 0, line_dedup.SURE))
+    assert got.num_rows == 19 and sum(got.column("whole").to_pylist()) == 1
+
+
+def test_postings_in_order():
+    """One sort of packed keys gives the order of all columns, with lines of null ids, large ids and tags of one id too."""
+    rng = np.random.default_rng(1)
+    for low, high in ((0, 50), (-(1 << 63), (1 << 63) - 1), (7, 8)):
+        p = np.zeros(3000, line_dedup.POSTING)
+        p["doc"] = np.where(rng.random(3000) < 0.5, low, high - 1)
+        for c, most in (("line", 30), ("tag", 3), ("key", 40), ("n", 9), ("node", 1 << 32)):
+            p[c] = rng.integers(0, most, 3000)
+        names, number = line_dedup.numbered(p)
+        want = sorted({(x["doc"], x["line"], x["tag"]) for x in p})
+        assert names.tolist() == want and [want[k] for k in number] == p[line_dedup.LINE].tolist()
+        order = line_dedup.by_key(p["key"], p["n"], p["node"])
+        assert [(x["key"], x["n"], x["node"]) for x in p[order]] == sorted((x["key"], x["n"], x["node"]) for x in p)
+
+
 # op10
 
 

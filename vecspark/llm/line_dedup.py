@@ -14,10 +14,12 @@ words stay. The join, for a line of n tokens ordered by rarity in the corpus, ra
 4. Length filter (sizes within a factor t) and positional filter (what can follow the first common token), then a
    bitmap filter (the parities of 128 classes of tokens bound the difference from below), all on packed arrays, sorted
    by key and size. Postings come in buckets of keys, as many as the input asks for, and are taken bucket by bucket.
-5. Of a line's earlier candidates, each bucket keeps the BEST most alike by bitmap. The best of all is verified on the
-   full token sets, then the others of lines without a match; lines that still have none and had more candidates are
-   matched with all of them in one further pass. So one match settles a line, groups of near copies make no pairs in
-   square, and no line is left undecided.
+5. Of a line's earlier candidates, each bucket keeps the BEST most alike by bitmap, and all where the
+   bitmaps leave the best one in doubt (equally many of each such line, once they are SPARE times the lines with
+   candidates: pairs never grow faster than lines). The best of all is verified on the full token sets, then the others of lines without a
+   match; lines that still have none and had more candidates are matched with all of them in one further pass, which is
+   rarely needed. So one match settles a line, groups of near copies make no pairs in square, and no line is left
+   undecided.
 
 Up to three tokens a match means equal sets. Postings of lines that occur very often come from their first occurrence
 alone. Nulls count as empty texts; a null doc_id comes first; rows equal in doc_id and text are treated alike; other
@@ -40,8 +42,8 @@ from vecspark.session import Scratch, ship
 
 #: log2 of the rarity table's size and of its parts' size; the count from which on a token is frequent; nodes named at most.
 SLOTS, PART, FREQUENT, NAMED = 24, 16, 4000, 100_000
-#: Candidates of a line that a bucket keeps; pairs held before they are thinned; postings of a bucket, about.
-BEST, HELD, BUCKET = 1, 2_000_000, 250_000
+#: Candidates of a line that a bucket keeps; pairs a line that it keeps for all lines in doubt; pairs held before they are thinned; postings of a bucket, about.
+BEST, SPARE, HELD, BUCKET = 2, 4, 2_000_000, 250_000
 #: Pairs, lines or texts that are broadcast at most (of 3 to 6 numbers: some 30 MB); log2 of the places of keys in a second pass.
 FEW, KEYS = 300_000, 24
 U64 = np.uint64
@@ -49,6 +51,10 @@ POSTING = np.dtype([("key", "<u8"), ("bits", "<u8", 2), ("doc", "<i8"), ("line",
 LINE = ["doc", "line", "tag"]
 #: Set in a posting's n if the line wants all its candidates.
 WANTED = np.uint32(1 << 31)
+#: By the number of parities apart: how many tokens differ (d of them put some 64 (1 - exp(-d / 64)) of 128 parities apart), and
+#: a quarter and one more. A pair's score is this in thousandths of one more than may differ; up to SURE a match is as good as certain.
+LIKELY = np.concatenate([1 - 80 * np.log1p(-np.arange(64) / 64), np.full(65, 1e6)])
+SURE = 300
 
 
 def in_rows(row: np.ndarray, tokens: np.ndarray, level: np.ndarray | None = None) -> np.ndarray:
@@ -176,13 +182,12 @@ def bitmaps(tokens: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return out
 
 
-def candidates(p: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of packed postings that pass the filters, and their bits apart; p is sorted by key and n."""
-    key, bits, at = (p[name] for name in ("key", "bits", "at"))
-    n, at = (p["n"] & ~WANTED).astype(np.int64), at.astype(np.int64)
-    live, gap = np.arange(len(p)), 1
+def candidates(key: np.ndarray, n: np.ndarray, bits: np.ndarray, at: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of postings, sorted by key and n, that pass the filters, and their scores."""
+    n, at = n.astype(np.int64), at.astype(np.int64)
+    live, gap = np.arange(len(key)), 1
     while True:
-        live = live[live + gap < len(p)]
+        live = live[live + gap < len(key)]
         other = live + gap
         go = (key[other] == key[live]) & (n[other] * num <= n[live] * den)  # sorted by n: who fails once fails on
         live, other = live[go], other[go]
@@ -193,54 +198,87 @@ def candidates(p: np.ndarray, num: int, den: int) -> Iterator[tuple[np.ndarray,
         good = np.minimum(a - at[live], b - at[other]) >= need
         x, y = live[good], other[good]
         apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
-        close = (n[x] + n[y] - apart) // 2 >= need[good]
+        room = (a + b - 2 * need)[good]
+        close = (apart <= room) & (room > 0)  # no room: equal sets alone match, and those are one node
         if close.any():
-            yield x[close], y[close], apart[close]
+            yield x[close], y[close], (1000 * LIKELY[apart[close]] / (room[close] + 1)).astype(np.int64)
         gap += 1
 
 
-def thinned(later: np.ndarray, earlier: np.ndarray, apart: np.ndarray, more: np.ndarray, best: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each pair once, and of each later line the best; more: gets marks for lines that lose candidates."""
-    order = np.lexsort((earlier, apart, later))
-    later, earlier, apart = later[order], earlier[order], apart[order]
+def thinned(later: np.ndarray, earlier: np.ndarray, score: np.ndarray, more: np.ndarray, best: tuple[int, int, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, and of each later line the few best, of lines in doubt as many as there is room for; more: gets marks for lines that lose candidates."""
+    order = np.lexsort((earlier, score, later))
+    later, earlier, score = later[order], earlier[order], score[order]
     new = np.ones(len(later), bool)
     new[1:] = (later[1:] != later[:-1]) | (earlier[1:] != earlier[:-1])
-    later, earlier, apart = later[new], earlier[new], apart[new]
+    later, earlier, score = later[new], earlier[new], score[new]
     if best is None:
-        return later, earlier, apart
+        return later, earlier, score
     first = np.flatnonzero(np.diff(later, prepend=-1))
-    place = np.arange(len(later)) - np.repeat(first, np.diff(first, append=len(later)))
-    more[later[place >= best]] = True
-    keep = place < best
-    return later[keep], earlier[keep], apart[keep]
+    each = np.diff(first, append=len(later))
+    place = np.arange(len(later)) - np.repeat(first, each)
+    few, spare, sure = best
+    doubt = score[first] > sure
+    most = int(each.max(initial=few))
+    while most > few and np.minimum(each[doubt], most).sum() > spare * len(first):
+        most = max(few, most // 2)
+    keep = place < np.repeat(np.where(doubt, max(few, most), few), each)
+    more[later[~keep]] = True
+    return later[keep], earlier[keep], score[keep]
+
+
+PAIRS = "doc long, line int, tag long, of_doc long, of_line int, of_tag long, score int, whole boolean"
+
+
+def numbered(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lines of postings in order of doc, line and tag, and the place of each posting's line there: one sort of packed keys, where they fit."""
+    doc, line, tag = (np.ascontiguousarray(p[c]) for c in LINE)
+    low, width = int(doc.min()), int(line.max()).bit_length()
+    order = None
+    if (int(doc.max()) - low).bit_length() + width <= 64:
+        packed = ((doc - low).astype(U64) << U64(width)) | line
+        order = np.argsort(packed)
+        packed, own = packed[order], tag[order]
+        if ((packed[1:] == packed[:-1]) & (own[1:] != own[:-1])).any():
+            order = None
+    if order is None:
+        order = np.lexsort((tag, line, doc))
+    new = np.ones(len(p), bool)
+    new[1:] = False
+    for c in (doc[order], line[order], tag[order]):
+        new[1:] |= c[1:] != c[:-1]
+    number = np.empty(len(p), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return p[LINE][order[new]], number
 
 
-PAIRS = "doc long, line int, tag long, of_doc long, of_line int, of_tag long, apart int, whole boolean"
+def by_key(key: np.ndarray, size: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The order by key, size and node (its first bits, if there are very many keys or long lines)."""
+    order = np.argsort(key)
+    sorted_keys = key[order]
+    rank = np.concatenate([[0], np.cumsum(sorted_keys[1:] != sorted_keys[:-1])])
+    width = int(size.max()).bit_length()
+    spare = min(32, 64 - width - int(rank[-1]).bit_length())
+    packed = (((rank.astype(U64) << U64(width)) | size[order]) << U64(spare)) | (node[order] >> np.uint32(32 - spare))
+    return order[np.argsort(packed)]
 
 
-def in_bucket(p: np.ndarray, num: int, den: int, best: int | None) -> pa.RecordBatch:
-    """The candidates among a bucket's postings; best: how many of a line stay (None: all, of wanted lines alone)."""
-    size = p["n"] & ~WANTED
-    p = p[np.lexsort((p["tag"], p["line"], p["doc"], p["node"], size, p["key"]))]
-    if best is not None:  # of lines with equal sets, the first
-        again = np.ones(len(p), bool)
-        again[:1] = False
-        for c in ("key", "n", "node"):
-            again[1:] &= p[c][1:] == p[c][:-1]
-        again[1:] &= (p["bits"][1:] == p["bits"][:-1]).all(axis=1)
-        p = p[~again]
-    order = np.lexsort((p["tag"], p["line"], p["doc"]))
-    own = p[LINE][order]
-    new = np.ones(len(p), bool)
-    new[1:] = own[1:] != own[:-1]
-    names = own[new]
-    number = np.empty(len(p), np.int64)
-    number[order] = np.cumsum(new) - 1
+def in_bucket(p: np.ndarray, num: int, den: int, best: tuple[int, int, int] | None) -> pa.RecordBatch:
+    """The candidates among a bucket's postings; best: BEST, SPARE and SURE (None: all pairs stay, of wanted lines alone)."""
+    names, number = numbered(p)
     more = np.zeros(len(names), bool)
     wanted = np.ones(len(names), bool)
     if best is None:
         wanted[:] = False
         wanted[number[(p["n"] & WANTED) > 0]] = True
+    key, size, node = np.ascontiguousarray(p["key"]), p["n"] & ~WANTED, np.ascontiguousarray(p["node"])
+    order = by_key(key, size, node)
+    key, size, node, number, bits, at = key[order], size[order], node[order], number[order], p["bits"][order], p["at"][order]
+    if best is not None:  # of lines with equal sets, the first
+        new = np.ones(len(p), bool)
+        new[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (node[1:] != node[:-1]) | (bits[1:] != bits[:-1]).any(axis=1)
+        first = np.flatnonzero(new)
+        key, size, bits, at, number = key[first], size[first], bits[first], at[first], np.minimum.reduceat(number, first)
     kept = tuple(np.zeros(0, np.int64) for _ in range(3))
     fresh: list[tuple[np.ndarray, ...]] = []
 
@@ -248,7 +286,7 @@ def in_bucket(p: np.ndarray, num: int, den: int, best: int | None) -> pa.RecordB
         return thinned(*(np.concatenate([old, *new]) for old, new in zip(kept, zip(*fresh, strict=True), strict=True)), more, best)
 
     held = 0
-    for x, y, d in candidates(p, num, den):
+    for x, y, d in candidates(key, size, bits, at, num, den):
         a, b = np.maximum(number[x], number[y]), np.minimum(number[x], number[y])
         keep = (a != b) & wanted[a]
         fresh.append((a[keep], b[keep], d[keep]))
@@ -257,12 +295,12 @@ def in_bucket(p: np.ndarray, num: int, den: int, best: int | None) -> pa.RecordB
             kept, fresh, held = thin(), [], 0
     if fresh:
         kept = thin()
-    later, earlier, apart = kept
+    later, earlier, score = kept
     columns = [names[at][c].astype(t) for at in (later, earlier) for c, t in zip(LINE, (np.int64, np.int32, np.int64), strict=True)]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(apart.astype(np.int32)), pa.array(~more[later])], ["doc", "line", "tag", "of_doc", "of_line", "of_tag", "apart", "whole"])
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(score.astype(np.int32)), pa.array(~more[later])], ["doc", "line", "tag", "of_doc", "of_line", "of_tag", "score", "whole"])
 
 
-def matched(postings: DataFrame, num: int, den: int, best: int | None) -> DataFrame:
+def matched(postings: DataFrame, num: int, den: int, best: tuple[int, int, int] | None) -> DataFrame:
     """Pairs of a line and an earlier candidate; whole: whether all candidates of the line in this bucket are given.
 
     postings: (bucket, postings), those of a bucket together.
@@ -355,9 +393,9 @@ def later_lines(docs: DataFrame, lines: DataFrame, again: DataFrame, num: int, d
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots_of_keys(keys)).astype(np.int32))], ["place"])
 
     texts = docs.select("doc", "tag", "text")
-    pairs = scratch.write(matched(posted(texts), num, den, BEST), "pairs")
+    pairs = scratch.write(matched(posted(texts), num, den, (BEST, SPARE, SURE)), "pairs")
     members = scratch.write(token_sets(docs, pairs, scratch), "members")
-    best = pairs.groupBy(*LINE).agg(F.min(F.struct("apart", "of_doc", "of_line", "of_tag")).alias("b")).select(*LINE, "b.of_doc", "b.of_line", "b.of_tag")
+    best = pairs.groupBy(*LINE).agg(F.min(F.struct("score", "of_doc", "of_line", "of_tag")).alias("b")).select(*LINE, "b.of_doc", "b.of_line", "b.of_tag")
     best = scratch.write(best, "best")
     done = scratch.write(verified(best, members, num, den), "later")
     others = pairs.join(small(done, FEW), LINE, "left_anti").join(small(best, FEW), [*LINE, "of_doc", "of_line", "of_tag"], "left_anti")
