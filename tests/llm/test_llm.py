@@ -10,6 +10,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -477,6 +478,62 @@ def test_bucket_keeps_few_sure_pairs():
     assert got.num_rows == 19 and sum(got.column("whole").to_pylist()) == 1
 
 
+def test_lost_candidates_come_from_left_postings():
+    """What a bucket leaves behind gives a line every candidate that it lost there, and only if it asks."""
+    p = np.zeros(60, line_dedup.POSTING)
+    p["key"], p["n"], p["doc"], p["node"] = np.arange(60) % 2, 40, np.arange(60), np.arange(60)
+    p["bits"][:, 0] = [sum(1 << int(b) for b in np.random.default_rng(k).choice(64, 3, replace=False)) for k in range(60)]
+    pairs = lambda t: set(zip(t.column("doc").to_pylist(), t.column("of_doc").to_pylist(), strict=True))
+    every = pairs(line_dedup.in_bucket(p, 80, 100, (60, 0, line_dedup.SURE)))
+    left = []
+    few = line_dedup.in_bucket(p, 80, 100, (1, 0, line_dedup.SURE), left)
+    lost = {d for d, whole in zip(few.column("doc").to_pylist(), few.column("whole").to_pylist(), strict=True) if not whole}
+    assert len(every) == 870 and len(pairs(few)) == 58 and len(lost) == 56
+    for asked in ([], [59], sorted(lost)):
+        flags = np.zeros(len(asked), line_dedup.POSTING)
+        flags["doc"], flags["n"] = asked, line_dedup.WANTED
+        assert pairs(line_dedup.in_bucket(np.concatenate([flags, *left]), 80, 100, None)) == {x for x in every if x[0] in asked}
+    left.clear()
+    assert line_dedup.in_bucket(p, 80, 100, (60, 0, line_dedup.SURE), left).num_rows == 870 and not left
+
+
+def test_second_pass_reads_no_texts(spark, monkeypatch, tmp_path):
+    """A further pass works on postings left by the first, in pieces, not on the documents."""
+    rng = random.Random(4)
+    base = [[f"t{rng.randrange(90)}" for _ in range(rng.randrange(10, 24))] for _ in range(20)]
+
+    def line():
+        own = list(rng.choice(base))
+        for _ in range(rng.randrange(5)):
+            own[rng.randrange(len(own))] = f"new{rng.randrange(400)}"
+        return " ".join(own)
+
+    rows = [(i, "\n".join(line() for _ in range(5))) for i in range(100)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents")
+    passes, plain = [], line_dedup.matched
+    monkeypatch.setattr(line_dedup, "matched", lambda *a: passes.append(any("/documents/" in f for f in a[0].inputFiles())) or plain(*a))
+    for name, value in (("FREQUENT", 4), ("BEST", 1), ("SPARE", 0), ("PIECE", 7)):
+        monkeypatch.setattr(line_dedup, name, value)
+    got = {r.doc_id: (r.n_removed, r.text_sha256) for r in line_dedup.dedup_lines(spark.read.parquet(f"{tmp_path}/documents")).collect()}
+    assert got == brute_lines(rows) and passes == [True, False]
+
+
+def test_lines_and_tokens():
+    """Lines with words of odd texts, and equal hashes for the same words alone, wherever they lie and however long they are."""
+    rng = random.Random(5)
+    pieces = ["a", "B", "ab", "A" * 8, "a" * 9, "é", "Z[`{@", "x" * 64, "X" * 65, "y" * 64 + "z" * 9, "0" * 200, "\0", "\0\0", " ", " ", "\t", "\n", "\n", "\x0b", "\r"]
+    texts = ["", None, "\n", " \n a", *("".join(rng.choice(pieces) for _ in range(rng.randrange(30))) for _ in range(300)), "\n\n", "a\n", ""]
+    tokens, cuts, text, line = line_dedup.lines_of(pa.array(texts))
+    want = [(k, n, w) for k, t in enumerate(texts) for n, x in enumerate((t or "").split("\n")) if (w := set(words(x)))]
+    assert list(zip(text.tolist(), line.tolist(), strict=True)) == [x[:2] for x in want]
+    seen = {}
+    for k, (_, _, w) in enumerate(want):
+        own = tokens[cuts[k] : cuts[k + 1]].tolist()
+        assert len(own) == len(w) and own == sorted(own)
+        assert seen.setdefault(frozenset(w), own) == own
+    assert len(set(map(tuple, seen.values()))) == len(seen) and len(set(tokens.tolist())) == len(set().union(*seen))
+
+
 def test_postings_in_order():
     """One sort of packed keys gives the order of all columns, with lines of null ids, large ids and tags of one id too."""
     rng = np.random.default_rng(1)

@@ -17,8 +17,9 @@ words stay. The join, for a line of n tokens ordered by rarity in the corpus, ra
 5. Of a line's earlier candidates, each bucket keeps the BEST most alike by bitmap, and all where the
    bitmaps leave the best one in doubt (equally many of each such line, once they are SPARE times the lines with
    candidates: pairs never grow faster than lines). The best of all is verified on the full token sets, then the others of lines without a
-   match; lines that still have none and had more candidates are matched with all of them in one further pass, which is
-   rarely needed. So one match settles a line, groups of near copies make no pairs in square, and no line is left
+   match; lines that still have none and had more candidates are matched with all of them in one further pass. It reads
+   no texts: a bucket leaves behind the postings of lines that lose candidates and of those candidates, at most one for
+   each of its own. So one match settles a line, groups of near copies make no pairs in square, and no line is left
    undecided.
 
 Up to three tokens a match means equal sets. Postings of lines that occur very often come from their first occurrence
@@ -44,17 +45,19 @@ from vecspark.session import Scratch, ship
 SLOTS, PART, FREQUENT, NAMED = 24, 16, 4000, 100_000
 #: Candidates of a line that a bucket keeps; pairs a line that it keeps for all lines in doubt; pairs held before they are thinned; postings of a bucket, about.
 BEST, SPARE, HELD, BUCKET = 2, 4, 2_000_000, 250_000
-#: Pairs, lines or texts that are broadcast at most (of 3 to 6 numbers: some 30 MB); log2 of the places of keys in a second pass.
-FEW, KEYS = 300_000, 24
+#: Pairs, lines or texts that are broadcast at most (of 3 to 6 numbers: some 30 MB); postings in a row of those left for a second pass.
+FEW, PIECE = 300_000, 16_384
 U64 = np.uint64
 POSTING = np.dtype([("key", "<u8"), ("bits", "<u8", 2), ("doc", "<i8"), ("line", "<u4"), ("tag", "<u4"), ("n", "<u4"), ("node", "<u4"), ("at", "<u2")])
 LINE = ["doc", "line", "tag"]
-#: Set in a posting's n if the line wants all its candidates.
+#: The n of a posting without a key, which says that its line wants all its candidates.
 WANTED = np.uint32(1 << 31)
 #: By the number of parities apart: how many tokens differ (d of them put some 64 (1 - exp(-d / 64)) of 128 parities apart), and
 #: a quarter and one more. A pair's score is this in thousandths of one more than may differ; up to SURE a match is as good as certain.
 LIKELY = np.concatenate([1 - 80 * np.log1p(-np.arange(64) / 64), np.full(65, 1e6)])
 SURE = 300
+#: Bytes of a token that are hashed eight at a time; masks of the first 0 to 8 bytes of eight.
+LONG, ENDS = 64, np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def in_rows(row: np.ndarray, tokens: np.ndarray, level: np.ndarray | None = None) -> np.ndarray:
@@ -72,43 +75,70 @@ def in_rows(row: np.ndarray, tokens: np.ndarray, level: np.ndarray | None = None
 def lines_of(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct token hashes of each line with words, ascending, their number before each; each line's text and number."""
     data, at = textscan.buffers(texts)
-    starts, ends, first = textscan.spans(data, at, textscan.NOT_SPACE)
-    hashes = textscan.word_hashes(data, starts, ends, lower=True)
+    starts, ends, first = textscan.spans_inside((data != 32) & (data - np.uint8(9) > 4), at)
+    hashes = token_hashes(data, starts, ends)
     breaks = np.flatnonzero(data == 10)
-    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    line = np.cumsum(np.bincount(np.searchsorted(starts, breaks), minlength=len(starts) + 1))[: len(starts)]
-    line -= np.searchsorted(breaks, at[:-1])[text]
-    new = np.ones(len(starts), bool)
-    new[1:] = (text[1:] != text[:-1]) | (line[1:] != line[:-1])
+    new = np.zeros(len(starts) + 1, bool)
+    new[np.searchsorted(starts, breaks)] = True
+    new[first[:-1]] = True
+    new = new[:-1]
+    begin = starts[new]
+    text = np.searchsorted(at, begin, side="right") - 1
+    line = np.searchsorted(breaks, begin) - np.searchsorted(breaks, at[:-1])[text]
     row = np.cumsum(new) - 1
     h = hashes[in_rows(row, hashes)]  # rows stay where they are
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | new[1:]
-    count = np.bincount(row[keep], minlength=int(new.sum()))
-    return h[keep], np.concatenate([[0], np.cumsum(count)]), text[new], line[new]
+    count = np.bincount(row[keep], minlength=len(begin))
+    return h[keep], np.concatenate([[0], np.cumsum(count)]), text, line
+
+
+def token_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, A-Z as a-z: eight bytes at a time, spans beyond LONG bytes as a polynomial."""
+    n = ends - starts
+    low = np.zeros(len(data) // 8 * 8 + 16, np.uint8)
+    np.bitwise_or(data, (data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5), out=low[: len(data)])
+    eight = low.view("<u8")
+
+    def load(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        k, off = at >> 3, (at & 7).astype(U64) << U64(3)
+        return ((eight[k] >> off) | ((eight[k + 1] << (U64(63) - off)) << U64(1))) & ENDS[np.minimum(left, 8)]
+
+    out = textscan.mix(load(starts, n) ^ (n.astype(U64) * U64(0xD6E8FEB86659FD93)))
+    more, done = np.flatnonzero((n > 8) & (n <= LONG)), 8
+    while len(more):
+        out[more] = textscan.mix(out[more] * U64(0x9E3779B97F4A7C15) + load(starts[more] + done, n[more] - done))
+        done += 8
+        more = more[n[more] > done]
+    long = np.flatnonzero(n > LONG)
+    if len(long):
+        out[long] = textscan.word_hashes(data, starts[long], ends[long], lower=True)
+    return out
 
 
 def slots(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> U64(64 - SLOTS)).astype(np.int64)
 
 
-LINES = "node binary, doc long, tag long, line int, n int, part int, counts binary"
+LINES = "node binary, doc long, tag long, line int, n int, of int, part int, counts binary"
 
 
 def read_lines(docs: DataFrame) -> DataFrame:
-    """A row for each line with words, and at the end of each task its counts by slot, packed for each part of the table."""
-    names = ["node", "doc", "tag", "line", "n", "part", "counts"]
-    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    """A row for each line with words, and at the end of each task its counts by slot, packed for each part of the table.
+
+    n: the line's tokens; of: the number of such lines in its text, in the row of the first one.
+    """
+    names = ["node", "doc", "tag", "line", "n", "of", "part", "counts"]
+    kinds = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
     def run(batches):
         total = np.zeros(1 << SLOTS, np.uint32)
         for b in batches:
             tokens, cuts, text, line = lines_of(b.column(2))
-            if len(tokens):
-                used, n = np.unique(slots(tokens), return_counts=True)
-                total[used] += n.astype(np.uint32)
+            np.add.at(total, slots(tokens), np.uint32(1))
             own = pa.array(text)
-            yield pa.RecordBatch.from_arrays([fixed(node_keys(tokens, cuts)), b.column(0).take(own), b.column(1).take(own), pa.array(line.astype(np.int32)), pa.array(np.diff(cuts).astype(np.int32)), pa.nulls(len(text), pa.int32()), pa.nulls(len(text), pa.binary())], names)
+            of = pa.array(np.bincount(text)[text].astype(np.int32), mask=np.diff(text, prepend=-1) == 0)
+            yield pa.RecordBatch.from_arrays([fixed(node_keys(tokens, cuts)), b.column(0).take(own), b.column(1).take(own), pa.array(line.astype(np.int32)), pa.array(np.diff(cuts).astype(np.int32)), of, pa.nulls(len(text), pa.int32()), pa.nulls(len(text), pa.binary())], names)
         for k, part in enumerate(total.reshape(-1, 1 << PART)):
             if len(used := np.flatnonzero(part)):
                 packed = used.astype("<u2").tobytes() + part[used].astype("<u4").tobytes()
@@ -117,10 +147,6 @@ def read_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc", "tag", "text").mapInArrow(textscan.lean(run), LINES)
 
 
-def slots_of_keys(keys: np.ndarray) -> np.ndarray:
-    return (textscan.mix(keys) >> U64(64 - KEYS)).astype(np.int64)
-
-
 def levels(counts: np.ndarray) -> np.ndarray:
     """Counts as levels of 8 bits that keep their order: 0 for 1, then eight for each doubling."""
     return np.minimum(255, np.floor(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
@@ -205,8 +231,8 @@ def candidates(key: np.ndarray, n: np.ndarray, bits: np.ndarray, at: np.ndarray,
         gap += 1
 
 
-def thinned(later: np.ndarray, earlier: np.ndarray, score: np.ndarray, more: np.ndarray, best: tuple[int, int, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each pair once, and of each later line the few best, of lines in doubt as many as there is room for; more: gets marks for lines that lose candidates."""
+def thinned(later: np.ndarray, earlier: np.ndarray, score: np.ndarray, more: np.ndarray, lost: np.ndarray, best: tuple[int, int, int] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair once, and of each later line the few best, of lines in doubt as many as there is room for; more, lost: get marks for lines that lose candidates and for those candidates."""
     order = np.lexsort((earlier, score, later))
     later, earlier, score = later[order], earlier[order], score[order]
     new = np.ones(len(later), bool)
@@ -223,11 +249,11 @@ def thinned(later: np.ndarray, earlier: np.ndarray, score: np.ndarray, more: np.
     while most > few and np.minimum(each[doubt], most).sum() > spare * len(first):
         most = max(few, most // 2)
     keep = place < np.repeat(np.where(doubt, max(few, most), few), each)
-    more[later[~keep]] = True
+    more[later[~keep]], lost[earlier[~keep]] = True, True
     return later[keep], earlier[keep], score[keep]
 
 
-PAIRS = "doc long, line int, tag long, of_doc long, of_line int, of_tag long, score int, whole boolean"
+PAIRS = "doc long, line int, tag long, of_doc long, of_line int, of_tag long, score int, whole boolean, bucket int, postings binary"
 
 
 def numbered(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -263,27 +289,32 @@ def by_key(key: np.ndarray, size: np.ndarray, node: np.ndarray) -> np.ndarray:
     return order[np.argsort(packed)]
 
 
-def in_bucket(p: np.ndarray, num: int, den: int, best: tuple[int, int, int] | None) -> pa.RecordBatch:
-    """The candidates among a bucket's postings; best: BEST, SPARE and SURE (None: all pairs stay, of wanted lines alone)."""
+def in_bucket(p: np.ndarray, num: int, den: int, best: tuple[int, int, int] | None, left: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    """The candidates among a bucket's postings; best: BEST, SPARE and SURE (None: all pairs stay, of wanted lines alone).
+
+    left: gets the postings of lines that lose candidates and of those candidates, where they share a key.
+    """
     names, number = numbered(p)
-    more = np.zeros(len(names), bool)
+    more, lost = np.zeros(len(names), bool), np.zeros(len(names), bool)
     wanted = np.ones(len(names), bool)
     if best is None:
         wanted[:] = False
-        wanted[number[(p["n"] & WANTED) > 0]] = True
-    key, size, node = np.ascontiguousarray(p["key"]), p["n"] & ~WANTED, np.ascontiguousarray(p["node"])
-    order = by_key(key, size, node)
+        wanted[number[p["n"] == WANTED]] = True
+        use = (p["n"] != WANTED) & np.isin(p["key"], p["key"][wanted[number]])
+        p, number = p[use], number[use]
+    key, size, node = np.ascontiguousarray(p["key"]), p["n"], np.ascontiguousarray(p["node"])
+    order = by_key(key, size, node) if len(p) else np.zeros(0, np.int64)
     key, size, node, number, bits, at = key[order], size[order], node[order], number[order], p["bits"][order], p["at"][order]
     if best is not None:  # of lines with equal sets, the first
         new = np.ones(len(p), bool)
         new[1:] = (key[1:] != key[:-1]) | (size[1:] != size[:-1]) | (node[1:] != node[:-1]) | (bits[1:] != bits[:-1]).any(axis=1)
         first = np.flatnonzero(new)
-        key, size, bits, at, number = key[first], size[first], bits[first], at[first], np.minimum.reduceat(number, first)
+        key, size, bits, at, number, order = key[first], size[first], bits[first], at[first], np.minimum.reduceat(number, first), order[first]
     kept = tuple(np.zeros(0, np.int64) for _ in range(3))
     fresh: list[tuple[np.ndarray, ...]] = []
 
     def thin() -> tuple[np.ndarray, ...]:
-        return thinned(*(np.concatenate([old, *new]) for old, new in zip(kept, zip(*fresh, strict=True), strict=True)), more, best)
+        return thinned(*(np.concatenate([old, *new]) for old, new in zip(kept, zip(*fresh, strict=True), strict=True)), more, lost, best)
 
     held = 0
     for x, y, d in candidates(key, size, bits, at, num, den):
@@ -295,6 +326,12 @@ def in_bucket(p: np.ndarray, num: int, den: int, best: tuple[int, int, int] | No
             kept, fresh, held = thin(), [], 0
     if fresh:
         kept = thin()
+    if left is not None and more.any():
+        use = np.flatnonzero((more | lost)[number])
+        use = use[np.isin(key[use], key[more[number]])]
+        left.append(p[order[use]])
+        for c in LINE:
+            left[-1][c] = names[c][number[use]]
     later, earlier, score = kept
     columns = [names[at][c].astype(t) for at in (later, earlier) for c, t in zip(LINE, (np.int64, np.int32, np.int64), strict=True)]
     return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(score.astype(np.int32)), pa.array(~more[later])], ["doc", "line", "tag", "of_doc", "of_line", "of_tag", "score", "whole"])
@@ -303,8 +340,19 @@ def in_bucket(p: np.ndarray, num: int, den: int, best: tuple[int, int, int] | No
 def matched(postings: DataFrame, num: int, den: int, best: tuple[int, int, int] | None) -> DataFrame:
     """Pairs of a line and an earlier candidate; whole: whether all candidates of the line in this bucket are given.
 
-    postings: (bucket, postings), those of a bucket together.
+    postings: (bucket, postings), those of a bucket together. Rows without a line hold, in pieces, what a further pass
+    needs of a bucket where lines lose candidates.
     """
+    names = [x.split()[0] for x in PAIRS.split(", ")]
+
+    def pairs(bucket, held):
+        left: list[np.ndarray] = []
+        found = in_bucket(np.frombuffer(b"".join(held), POSTING), num, den, best, left if best else None)
+        n = len(found)
+        yield pa.RecordBatch.from_arrays([*found.columns, pa.array(np.full(n, bucket, np.int32)), pa.nulls(n, pa.binary())], names)
+        for p in left:
+            for k in range(0, len(p), PIECE):
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(1, c.type) for c in found.columns), pa.array([bucket], pa.int32()), pa.array([p[k : k + PIECE].tobytes()], pa.binary())], names)
 
     def run(batches):
         held: list[bytes] = []
@@ -312,12 +360,12 @@ def matched(postings: DataFrame, num: int, den: int, best: tuple[int, int, int]
         for b in batches:
             for k, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 if k != last and held:
-                    yield in_bucket(np.frombuffer(b"".join(held), POSTING), num, den, best)
+                    yield from pairs(last, held)
                     held = []
                 last = k
                 held.append(raw.as_py())
         if held:
-            yield in_bucket(np.frombuffer(b"".join(held), POSTING), num, den, best)
+            yield from pairs(last, held)
 
     return postings.mapInArrow(textscan.lean(run), PAIRS)
 
@@ -352,7 +400,7 @@ def later_lines(docs: DataFrame, lines: DataFrame, again: DataFrame, num: int, d
     buckets = max(4 * parts, (about or 0) // BUCKET)
     frequent = int(levels(np.array([FREQUENT]))[0])
 
-    def post(batches, only=None):
+    def post(batches):
         first = named.value
         for b in batches:
             tokens, cuts, text, line = lines_of(b.column(2))
@@ -366,11 +414,6 @@ def later_lines(docs: DataFrame, lines: DataFrame, again: DataFrame, num: int, d
                 use = np.array([f is None or f == (doc[t], x, tag[t]) for f, t, x in zip(places, text.tolist(), line.tolist(), strict=True)], bool)
                 rows, keys, at = rows[use[rows]], keys[use[rows]], at[use[rows]]
             size = np.diff(cuts).astype(np.uint32)
-            if only is not None:
-                use = only.value[slots_of_keys(keys)]
-                rows, keys, at = rows[use], keys[use], at[use]
-                sets = [set(w or ()) for w in b.column(3).to_pylist()]
-                size[[x in sets[t] for t, x in zip(text.tolist(), line.tolist(), strict=True)]] |= WANTED
             bucket = (keys >> U64(20)) % U64(buckets)
             order = np.argsort(bucket, kind="stable")
             rows, out = rows[order], np.empty(len(rows), POSTING)
@@ -381,19 +424,20 @@ def later_lines(docs: DataFrame, lines: DataFrame, again: DataFrame, num: int, d
             raw, size, where = out.tobytes(), POSTING.itemsize, [*where.tolist(), len(out)]
             yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([raw[x * size : y * size] for x, y in zip(where[:-1], where[1:], strict=True)], pa.binary())], ["bucket", "postings"])
 
-    def posted(rows: DataFrame, only=None) -> DataFrame:
-        found = rows.mapInArrow(textscan.lean(lambda batches: post(batches, only)), "bucket int, postings binary")
-        return found.repartition(parts, "bucket").sortWithinPartitions("bucket")
-
-    def places(batches):
+    def flags(batches):
         for b in batches:
-            cuts = np.concatenate([[0], np.cumsum(np.array([len(x.as_buffer()) // 8 for x in b.column(0)], np.int64))])
-            tokens = np.frombuffer(b"".join(x.as_py() for x in b.column(0)), "<u8")
-            _, keys, _ = keys_of(tokens, cuts, rarity.value, num, den, frequent)
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots_of_keys(keys)).astype(np.int32))], ["place"])
-
-    texts = docs.select("doc", "tag", "text")
-    pairs = scratch.write(matched(posted(texts), num, den, (BEST, SPARE, SURE)), "pairs")
+            out = np.zeros(len(b), POSTING)
+            out["n"] = WANTED
+            for k, c in enumerate(LINE, 1):
+                out[c] = b.column(k).to_numpy()
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in out], pa.binary())], ["bucket", "postings"])
+
+    def dealt(postings: DataFrame) -> DataFrame:
+        return postings.repartition(parts, "bucket").sortWithinPartitions("bucket")
+
+    posted = docs.select("doc", "tag", "text").mapInArrow(textscan.lean(post), "bucket int, postings binary")
+    found = scratch.write(matched(dealt(posted), num, den, (BEST, SPARE, SURE)), "pairs")
+    pairs, left = found.filter("doc is not null").drop("postings"), found.filter("doc is null").select("bucket", "postings")
     members = scratch.write(token_sets(docs, pairs, scratch), "members")
     best = pairs.groupBy(*LINE).agg(F.min(F.struct("score", "of_doc", "of_line", "of_tag")).alias("b")).select(*LINE, "b.of_doc", "b.of_line", "b.of_tag")
     best = scratch.write(best, "best")
@@ -403,20 +447,20 @@ def later_lines(docs: DataFrame, lines: DataFrame, again: DataFrame, num: int, d
     done = scratch.write(done.unionByName(verified(others, members, num, den)), "later")
     undecided = scratch.write(pairs.filter("not whole").select(*LINE).distinct().join(small(done, FEW), LINE, "left_anti"), "undecided")
     if undecided.limit(1).count():
-        wanted = scratch.write(undecided.groupBy("doc", "tag").agg(F.collect_list("line").alias("wanted")), "wanted")
-        theirs = members.join(small(undecided, FEW), LINE, "left_semi").select("members").mapInArrow(textscan.lean(places), "place int").distinct().toArrow()
-        keys = np.zeros(1 << KEYS, bool)  # only lines that share one of these keys with an undecided line matter
-        keys[theirs["place"].to_numpy()] = True
-        marked = texts.join(small(wanted, FEW), ["doc", "tag"], "left").select("doc", "tag", "text", "wanted")
-        every = scratch.write(matched(posted(marked, spark.sparkContext.broadcast(keys)), num, den, None).select(*LINE, "of_doc", "of_line", "of_tag").distinct(), "pairs")
-        done = scratch.write(done.unionByName(verified(every, token_sets(docs, every, scratch), num, den)).distinct(), "later")
+        wanted = pairs.filter("not whole").select("bucket", *LINE).distinct().join(small(undecided, FEW), LINE, "left_semi")
+        wanted = scratch.write(wanted.select("bucket", *LINE), "wanted")
+        left = left.join(small(wanted.select("bucket").distinct(), FEW), "bucket", "left_semi")
+        rest = dealt(wanted.mapInArrow(textscan.lean(flags), "bucket int, postings binary").unionByName(left))
+        every = scratch.write(matched(rest, num, den, None).filter("doc is not null").select(*LINE, "of_doc", "of_line", "of_tag").distinct(), "pairs")
+        theirs = scratch.write(token_sets(docs, every, scratch), "members")
+        done = scratch.write(done.unionByName(verified(every, theirs, num, den)).distinct(), "later")
     return done
 
 
 def token_sets(docs: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc, line, tag and the token set (8 bytes a token, ascending) of every line of the pairs."""
     ends = pairs.select(*LINE).unionByName(pairs.select(F.col("of_doc").alias("doc"), F.col("of_line").alias("line"), F.col("of_tag").alias("tag")))
-    wanted = scratch.write(ends.groupBy("doc", "tag").agg(F.sort_array(F.collect_set("line")).alias("wanted")), "wanted")  # of one text
+    wanted = scratch.write(ends.distinct().groupBy("doc", "tag").agg(F.sort_array(F.collect_list("line")).alias("wanted")), "wanted")  # of one text
 
     def run(batches):
         for b in batches:
@@ -446,12 +490,13 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", at_
     scratch, kept = Scratch(spark), Scratch(spark)
     lines = scratch.write(read_lines(picked), "lines")
     own = lines.filter("part is null").select("node", *LINE)
-    again = own.groupBy("node").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("times")).filter("times > 1")
-    again = scratch.write(again, "again")
+    twice = scratch.write(own.groupBy("node").count().filter("count > 1").select("node"), "twice")
+    repeated = scratch.write(own.join(small(twice, FEW), "node"), "repeated")
+    again = scratch.write(repeated.groupBy("node").agg(F.min(F.struct(*LINE)).alias("first"), F.count("*").alias("times")), "again")
     later = later_lines(picked, lines, again, num, den, scratch)
-    gone = own.join(again, "node").filter(F.struct(*LINE) != F.col("first")).select(*LINE).unionByName(later)
-    gone = gone.groupBy("doc", "tag").agg(F.sort_array(F.collect_set("line")).alias("removed"))  # of one text
-    rows = own.select(*LINE).distinct().groupBy("doc", "tag").agg(F.count("*").alias("n_lines"))
+    gone = repeated.join(small(again, FEW), "node").filter(F.struct(*LINE) != F.col("first")).select(*LINE).unionByName(later)
+    gone = gone.distinct().groupBy("doc", "tag").agg(F.sort_array(F.collect_list("line")).alias("removed"))  # of one text
+    rows = lines.filter("of is not null").groupBy("doc", "tag").agg(F.max("of").alias("n_lines"))
     info = kept.write(rows.join(gone, ["doc", "tag"], "left"), "removed")
     scratch.drop()
     out = picked.join(info, ["doc", "tag"], "left").select("doc_id", *(["text"] if keep_text else []), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

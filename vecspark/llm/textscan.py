@@ -77,13 +77,17 @@ def buffers(texts) -> tuple[np.ndarray, np.ndarray]:
 
 def spans(data: np.ndarray, at: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of member bytes, none across texts, and the number of runs before each text."""
-    if not len(data):
+    return spans_inside(member[data], at)
+
+
+def spans_inside(inside: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same, from a mark for each byte."""
+    if not len(inside):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    inside = member[data]
-    edge = np.empty(len(data), bool)
+    edge = np.empty(len(inside), bool)
     edge[0] = inside[0]
     np.greater(inside[1:], inside[:-1], out=edge[1:])
-    cut = at[(at > 0) & (at < len(data))]
+    cut = at[(at > 0) & (at < len(inside))]
     edge[cut] = inside[cut]
     starts = np.flatnonzero(edge)
     edge[-1] = inside[-1]
