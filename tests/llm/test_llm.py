@@ -187,6 +187,26 @@ def test_language_is_rank_order(spark):
     assert [(r.lang_pred, round(r.score, 6)) for r in sorted(got)] == [("x", 1.0), ("y", 1.0), ("und", 0.0), ("und", 0.0)]
 
 
+def test_language_memory_is_bounded():
+    """A batch of 1 MB is judged in parts: as a whole it took 130 bytes for each byte of text in each worker."""
+    import tracemalloc
+
+    rng = random.Random(9)
+    texts = [None, "", "é" * 400_000, *(" ".join("".join(rng.choices("abcdeéßжя", k=6)) for _ in range(300)) for _ in range(300)), ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    nearest = langid.predictor([("a", np.arange(300)), ("b", np.arange(langid.CODES - 300, langid.CODES))])
+    whole = nearest(batch.column(0))
+    small = batch.slice(3)
+    tracemalloc.start()
+    for _ in langid.judged([small], 0, nearest):
+        pass
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    found = [(n, s, k) for _, *judged in langid.judged([batch, batch.slice(0, 0)], 0, nearest) for n, s, k in zip(*judged, strict=True)]
+    assert found == list(zip(*whole, strict=True))
+    assert [len(p) for p in textscan.parts(batch, 0, 1 << 30)] == [len(batch)]
+
+
 def test_language_of_odd_texts(odd, empty):
     got = {(r.doc_id, r.lang_pred) for r in langid.identify(odd).collect()}
     assert {(0, "und"), (1, "und"), (2, "und"), (4, "und"), (3, "en")} <= got
@@ -388,6 +408,25 @@ def test_packing_encodes_distinct_words_cheaply(reference):
     assert list(library.encode_chunks([c.encode() for c in chunks])) == [reference.encode(c, add_special_tokens=False).ids for c in chunks]
 
 
+def test_packing_copies_no_memory_of_chunks(reference):
+    """The ids of a batch are taken from what a task remembers without copies of all of it."""
+    import tracemalloc
+
+    store = bpe.Memory(vocabulary(), encoder=bpe.LibraryEncoder)
+    chunks = [f"a{k}" for k in range(60_000)]
+    random.Random(3).shuffle(chunks)
+    for a in range(0, len(chunks), 20_000):
+        store.look_up(*bpe.chunks_of(pa.array([" ".join(chunks[a : a + 20_000])]))[:4])
+    assert (np.diff(store.hashes.astype(object)) > 0).all()
+    text = " ".join([*chunks[::6000], "new", *chunks[:3]])
+    numbers = store.look_up(*bpe.chunks_of(pa.array([text]))[:4])
+    tracemalloc.start()
+    ids, before = store.joined(numbers)
+    assert tracemalloc.get_traced_memory()[1] < 200_000
+    tracemalloc.stop()
+    assert ids.tolist() == reference.encode(text, add_special_tokens=False).ids and before[-1] == len(ids)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 300), max_size=30), st.integers(12, 48))
 def test_plans_are_whole_and_good(histogram, groups):

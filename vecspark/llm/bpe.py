@@ -361,21 +361,21 @@ class Memory:
             packed = self.encoder.packed_chunks([raw[a:b] for a, b in zip(starts[where[fresh]].tolist(), ends[where[fresh]].tolist(), strict=True)])
             self.flat += b"".join(packed)
             self.ends.extend((self.ends[-1] + np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)))).tolist())
-            both = np.concatenate([self.hashes, distinct[fresh]])
-            order = np.argsort(both, kind="stable")  # two ascending runs
-            self.hashes, self.numbers = both[order], np.concatenate([self.numbers, numbers[fresh]])[order]
+            self.hashes = np.insert(self.hashes, at[fresh], distinct[fresh])  # stays ascending
+            self.numbers = np.insert(self.numbers, at[fresh], numbers[fresh])
             self.uses = np.concatenate([self.uses, np.zeros(len(fresh), np.int32)])
         self.uses[numbers] += 1
         return numbers[inverse]
 
     def joined(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of chunks, joined, and the number of ids before each chunk and at the end."""
-        flat = np.frombuffer(bytes(self.flat), self.encoder.code)
-        ends = np.array(self.ends) // flat.itemsize
-        n = (ends[1:] - ends[:-1])[numbers]
+        flat = np.frombuffer(self.flat, self.encoder.code)  # views: no copy of all that is remembered
+        ends = np.frombuffer(self.ends, np.int64)
+        start = ends[numbers] // flat.itemsize
+        n = ends[1:][numbers] // flat.itemsize - start
         before = np.concatenate([[0], np.cumsum(n)])
         at = np.arange(before[-1], dtype=np.int32)
-        at += np.repeat((ends[numbers] - before[:-1]).astype(np.int32), n)
+        at += np.repeat((start - before[:-1]).astype(np.int32), n)
         return flat[at], before
 
 

@@ -12,6 +12,8 @@ A text that is null or has no letter gets ``und`` and score 0; so does every tex
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -22,6 +24,8 @@ from vecspark.session import ship
 
 LENGTH = 300
 BITS = 19
+#: Text bytes counted at once; each count costs a pass over all codes for each language.
+PROFILED = 1 << 19
 CODES = (1 << 18) + (1 << 12) + (1 << 6)
 _class: list[np.ndarray] = []
 
@@ -59,7 +63,7 @@ def profiles(docs: DataFrame, lang: str, text: str, length: int = LENGTH) -> lis
 
     def run(batches):
         counts: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in (part for whole in batches for part in textscan.parts(whole, 0, PROFILED)):
             names = b.column(1).dictionary_encode()
             which = names.indices.to_numpy()
             stream, at, _ = ngrams.letter_stream(b.column(0))
@@ -110,6 +114,13 @@ def predictor(learned: list[tuple[str, np.ndarray]], length: int = LENGTH):
     return nearest
 
 
+def judged(batches: Iterable[pa.RecordBatch], at: int, nearest) -> Iterator[tuple]:
+    """Each batch in parts, each with what nearest says of the texts in column at: it takes some 130 bytes for each of a text."""
+    for whole in batches:
+        for part in textscan.parts(whole, at):
+            yield part, *nearest(part.column(at).cast(pa.string()))
+
+
 def predict(docs: DataFrame, learned: list[tuple[str, np.ndarray]], doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, lang_pred, score, n_letters for each row; score is 1 minus the distance's share of the largest possible."""
     spark = docs.sparkSession
@@ -119,8 +130,7 @@ def predict(docs: DataFrame, learned: list[tuple[str, np.ndarray]], doc_id: str
 
     def run(batches):
         nearest = predictor(sent.value, length)
-        for b in batches:
-            names, score, n = nearest(b.column(1))
+        for b, names, score, n in judged(batches, 1, nearest):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(n)], ["doc_id", "lang_pred", "score", "n_letters"])
 
     picked = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
@@ -134,8 +144,7 @@ def kept_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def run(batches):
         nearest = predictor(sent.value)
-        for b in batches:
-            names, score, _ = nearest(b.column(at).cast(pa.string()))
+        for b, names, score, _ in judged(batches, at, nearest):
             yield b.filter(pa.array((np.array(names, object) != "und") & (score >= least), pa.bool_()))
 
     return docs.mapInArrow(textscan.lean(run), docs.schema)

@@ -32,6 +32,8 @@ from vecspark.llm.bpe import LibraryEncoder, Memory, chunks_of, send_vocabulary,
 from vecspark.session import ship, write_table
 
 END_ID, CAPACITY = 1, 4096
+#: Text bytes that are encoded together: one batch, or its half for texts of several MB; the model takes each word alone, so more would save nothing.
+TOGETHER = 1 << 19
 
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, run int, own_rank long"
@@ -46,7 +48,7 @@ def pieces(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text
 
     def run(batches):
         store, task, seen = Memory(name, encoder=LibraryEncoder), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in together(batches):
+        for batch in together(batches, size=TOGETHER):
             raw, starts, ends, hashes, first = chunks_of(batch.column(1))
             ids, before = store.joined(store.look_up(raw, starts, ends, hashes))
             ids, cuts = ids.astype("<u4"), before[first]

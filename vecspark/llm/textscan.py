@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,8 @@ from pyspark.sql import SparkSession
 SPACES = bytes([32, *range(9, 14)])
 #: Bytes and rows of an Arrow batch that Spark hands to Python.
 BATCH_BYTES, BATCH_ROWS = 1 << 20, 4096
+#: Text bytes of a part of a batch, for work that takes some hundred bytes for each byte of text.
+PART_BYTES = 1 << 18
 #: Bytes hashed at once; the powers of the hash's base are kept for so many positions.
 BLOCK = 1 << 17
 
@@ -47,6 +50,16 @@ def lean(run):
     return trimmed
 
 
+def parts(batch: pa.RecordBatch, column: int, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many bytes of the column's texts each; a longer text is a slice of its own."""
+    _, at = buffers(batch.column(column).cast(pa.string()))
+    a = 0
+    while a < len(batch):
+        b = max(a + 1, int(np.searchsorted(at, at[a] + size, side="right")) - 1)
+        yield batch.slice(a, b - a)
+        a = b
+
+
 def byte_table(members) -> np.ndarray:
     out = np.zeros(256, bool)
     out[list(members)] = True
