@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from vecspark.session import arrow_udf
 
 METRICS = ("L2", "IP", "COSINE", "HAMMING")
+#: Pairs whose words are compared at once; factor of the rounding errors of a sum of products.
+TILE, ROUNDING = 1 << 15, 4 * np.finfo(float).eps
 
 
 def _sum(values: Column) -> Column:
@@ -76,16 +78,64 @@ def _l2_kernel(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def _words(v: np.ndarray) -> np.ndarray:
+    """The rows' 32-bit floats, two in each 64-bit word."""
+    v = v.astype("<f4")
+    return np.ascontiguousarray(np.pad(v, ((0, 0), (0, v.shape[1] % 2)))).view("u8")
+
+
 def _hamming_kernel(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    q, x = q.astype("<f4").view("u4"), x.astype("<f4").view("u4")
-    return np.stack([np.bitwise_count(x ^ one[None]).sum(axis=1, dtype=np.int64) for one in q]).astype(float) if len(q) else np.zeros((0, len(x)))
+    out = np.zeros((len(q), len(x)), np.int32)
+    q, x = _words(q), np.ascontiguousarray(_words(x).T)
+    step = max(1, TILE // max(1, x.shape[1]))
+    for a in range(0, len(q), step):  # a few queries at once, so that what is counted stays in the cache
+        some = out[a : a + step]
+        for j, column in enumerate(x):
+            some += np.bitwise_count(column ^ q[a : a + step, j, None])
+    return out.astype(float)
 
 
 #: Matrices of distances between the rows of q and x (doubles).
 KERNELS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {"L2": _l2_kernel, "IP": lambda q, x: -(q @ x.T), "COSINE": _cosine_kernel, "HAMMING": _hamming_kernel}
 
 
-def paired(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _size(s: np.ndarray) -> np.ndarray:
+    return np.where(np.isfinite(s), np.abs(s), 0)
+
+
+def ordered(metric: str, q: np.ndarray, x: np.ndarray, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, Callable[[np.ndarray], np.ndarray]]:
+    """A matrix that grows with the distances of the rows of q and x, and a function of one distance for each q.
+
+    It gives the matrix's value up to which all pairs lie whose distance, as ``paired`` has it, is at most that one: with
+    room for the rounding of either. The matrix needs few passes and holds no NaN; rows too large or too small for it get
+    the least value there is.
+    """
+    if metric not in METRICS or metric == "HAMMING":
+        far = (kernel or KERNELS[metric])(q, x)
+        return np.where(np.isnan(far), np.inf, far), lambda s: s + (0 if metric == "HAMMING" else _size(s) * 1e-9 + 1e-6)
+    room = ROUNDING * (x.shape[1] + 4)
+    with np.errstate(all="ignore"):
+        qq, xx = (q * q).sum(axis=1), (x * x).sum(axis=1)
+        odd_q, odd_x = (~((v == 0) | ((v > 1e-140) & (v < 1e140))) for v in (qq, xx))
+        most = np.sqrt(xx.max(initial=0, where=~odd_x))
+        length = np.sqrt(qq)
+        if metric == "L2":
+            far = (-2 * q) @ x.T
+            far += xx
+        elif metric == "IP":
+            far = -q @ x.T
+        else:
+            far = (-q / np.where(qq > 0, length, 1)[:, None]) @ (x / np.sqrt(np.where(xx > 0, xx, 1))[:, None]).T
+            far[qq == 0], far[:, xx == 0] = 1, 1
+    if odd_q.any() or odd_x.any():
+        far[odd_q], far[:, odd_x] = -np.inf, -np.inf
+        qq, length = np.where(odd_q, 0, qq), np.where(odd_q, 0, length)
+    if metric == "L2":
+        return far, lambda s: s * s - qq + room * (s * s + (length + most) ** 2)
+    return far, (lambda s: s + room * (length * most + _size(s))) if metric == "IP" else (lambda s: s - 1 + 4 * room)
+
+
+def paired(metric: str, q: np.ndarray, x: np.ndarray, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
     """Exact distances of row i of q to row i of x, without the cancellation that a matrix product can bring."""
     if metric == "L2":
         return np.sqrt(((q - x) ** 2).sum(axis=1))
@@ -97,7 +147,7 @@ def paired(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
             return -total
         length = np.sqrt((q * q).sum(axis=1) * (x * x).sum(axis=1))
         return np.where(length > 0, 1 - np.divide(total, length, out=np.zeros_like(total), where=length > 0).clip(-1, 1), 2.0)
-    return np.array([KERNELS[metric](q[i : i + 1], x[i : i + 1])[0, 0] for i in range(len(q))])
+    return np.array([(kernel or KERNELS[metric])(q[i : i + 1], x[i : i + 1])[0, 0] for i in range(len(q))])
 
 
 def register(name: str, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:

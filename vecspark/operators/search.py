@@ -2,7 +2,8 @@
 
 A single query is a Column distance and ``orderBy().limit()`` (TakeOrderedAndProject: each task keeps k rows). A batch
 of queries runs on matrices: each task keeps the k best of its rows for every query, so that only tasks * queries * k
-rows are shuffled; queries go out in chunks of bounded size. Payload columns are joined to the winners afterwards
+rows are shuffled; queries go out in chunks of bounded size, and meet a task's rows in blocks of bounded size, so a
+task's memory doesn't depend on how many rows and queries there are. Payload columns are joined to the winners afterwards
 (hydrate), not carried through the search.
 
 Ties are broken by id. k <= 0 gives no rows, but the query's dimension is still checked.
@@ -23,8 +24,9 @@ from vecspark.functions import distance
 from vecspark.plans.filters import Filter, matching
 from vecspark.session import ship
 
-#: Queries broadcast at once.
-CHUNK = 4096
+#: Queries broadcast at once, and what a task holds for them at most; rows, and pairs of rows and queries, that meet at once; pairs
+#: whose exact distances are computed at once.
+CHUNK, HELD, ROWS, BLOCK, PAIRS = 4096, 1 << 19, 2048, 1 << 20, 1 << 14
 
 
 def check_query(query: Sequence[float], dimension: int | None) -> None:
@@ -55,10 +57,70 @@ def vectors_of(column: pa.Array) -> np.ndarray:
     return flat.astype(float).reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
 
 
+def ids_of(column: pa.Array) -> np.ndarray:
+    """A batch's ids: integers, or objects."""
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy(zero_copy_only=False)
+    out = np.empty(len(column), object)
+    out[:] = column.to_pylist()
+    return out
+
+
+def places(ids: np.ndarray) -> np.ndarray:
+    """Numbers in the order of the ids; null comes first, as in Spark."""
+    if ids.dtype != object:
+        return ids
+    values = ids.tolist()
+    place = {v: i for i, v in enumerate(sorted(set(values), key=lambda v: (v is not None, v)))}
+    return np.array([place[v] for v in values], np.int64)
+
+
+class Nearest:
+    """The k nearest of all rows seen, for a block of queries: query, id and score, in that order of queries and nearest first.
+
+    The k-th best so far bounds what later rows are measured exactly. NaN is farther than all others.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, metric: str, max_distance: float | None = None, kernel=None):
+        self.queries, self.k, self.metric, self.max_distance, self.kernel = queries, k, metric, max_distance, kernel
+        self.least = np.full(len(queries), np.inf if max_distance is None else max_distance, float)  # no farther ones count
+        self.q, self.id, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def exact(self, q: np.ndarray, x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Distances of pairs of queries q and rows c of x."""
+        return np.concatenate([distance.paired(self.metric, self.queries[q[a : a + PAIRS]], x[c[a : a + PAIRS]], self.kernel) for a in range(0, len(q), PAIRS)] or [np.zeros(0)])
+
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
+        far, limit = distance.ordered(self.metric, self.queries, x, self.kernel)
+        near = far <= limit(self.least)[:, None]
+        many = np.flatnonzero(np.count_nonzero(near, axis=1) > 2 * self.k)
+        if len(many) and len(x) > self.k:  # the distances of any k rows bound the k-th best
+            c = np.argpartition(far[many], self.k - 1, axis=1)[:, : self.k]
+            worst = self.exact(np.repeat(many, self.k), x, c.ravel()).reshape(len(many), self.k).max(axis=1)
+            self.least[many] = np.fmin(self.least[many], worst)
+            near[many] = far[many] <= limit(self.least)[many, None]
+        q, c = np.nonzero(near)
+        if not len(q):
+            return
+        score = self.exact(q, x, c)
+        keep = ~(score > self.least[q])
+        if self.max_distance is not None:
+            keep &= score <= self.max_distance
+        q, c, score = q[keep], c[keep], score[keep]
+        all_q, all_id, all_s = np.concatenate([self.q, q]), np.concatenate([self.id, ids[c]]) if len(self.q) else ids[c], np.concatenate([self.score, score])
+        order = np.lexsort((places(all_id), all_s, all_q))
+        first = np.searchsorted(all_q[order], np.arange(len(self.queries)))
+        place = np.arange(len(order)) - first[all_q[order]]
+        last = order[place == self.k - 1]
+        order = order[place < self.k]
+        self.q, self.id, self.score = all_q[order], all_id[order], all_s[order]
+        self.least[all_q[last]] = np.fmin(self.least[all_q[last]], all_s[last])
+
+
 def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: str = "L2", where: Filter | None = None, max_distance: float | None = None, id_col: str = "id", vector_col: str = "vector", query_id: str = "query_id", query_vector: str = "query", payload: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank (from 1), the point's id and score for each query, exact.
 
-    Each chunk of at most ``chunk`` queries is broadcast (a stated set against all rows, in blocks).
+    Each chunk of at most ``chunk`` queries (fewer for a large k) is broadcast: a stated set against all rows, in blocks.
     """
     spark = points.sparkSession
     ship(spark)
@@ -66,40 +128,31 @@ def knn_batch(points: DataFrame, queries: DataFrame, k: int, metric: str = "L2",
     id_type, query_type = points.schema[id_col].dataType, queries.schema[query_id].dataType
     schema = T.StructType([T.StructField("query_id", query_type), T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
+    kernel = None if metric in distance.METRICS else distance.KERNELS[metric]  # goes out with the function: workers don't know what was registered
     n = queries.count() if k > 0 else 0
+    chunk = max(1, min(chunk, HELD // max(1, k)))
     parts = max(1, -(-n // chunk))
     out = None
     for part in range(parts):
         asked = queries if parts == 1 else queries.filter(F.pmod(F.xxhash64(query_id), F.lit(parts)) == part)
         rows = asked.select(query_id, query_vector).collect() if n else []
-        sent = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], float).reshape(len(rows), -1)))
+        sent = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], float) if rows else np.zeros((0, 0))))
 
         def best(batches, sent=sent):
             names, q = sent.value
-            held_id, held_q, held = [], np.zeros(0, np.int64), np.zeros(0)
+            size = max(1, BLOCK // ROWS // (1 if metric in distance.METRICS else max(1, q.shape[1])))  # other kernels may need room for each component
+            blocks = [Nearest(q[a : a + size], k, metric, max_distance, kernel) for a in range(0, len(q), size)]
             for b in batches:
-                x, ids = vectors_of(b.column(1)), b.column(0).to_pylist()
-                if not len(x) or not len(q):
-                    continue
-                if x.shape[1] != q.shape[1]:
-                    raise ValueError("vectors differ in length")
-                far = distance.KERNELS[metric](q, x)
-                take = min(len(x), k + 8)  # near ties under rounding are settled by the exact distance below
-                near = np.argpartition(far, take - 1, axis=1)[:, :take]
-                edge = np.take_along_axis(far, near, 1).max(axis=1) * (1 + 1e-9) + 1e-6
-                row, col = np.nonzero(far <= np.minimum(edge, np.inf if max_distance is None else max_distance + 1e-6)[:, None])
-                score = distance.paired(metric, q[row], x[col])
-                keep = np.ones(len(row), bool) if max_distance is None else score <= max_distance
-                all_id = held_id + [ids[i] for i in col[keep].tolist()]
-                all_q, all_s = np.concatenate([held_q, row[keep]]), np.concatenate([held, score[keep]])
-                by_id = np.empty(len(all_id), np.int64)
-                by_id[sorted(range(len(all_id)), key=all_id.__getitem__)] = np.arange(len(all_id))
-                order = np.lexsort((by_id, all_s, all_q))
-                first = np.searchsorted(all_q[order], np.arange(len(q)))
-                order = order[np.arange(len(order)) - first[all_q[order]] < k]
-                held_id, held_q, held = [all_id[i] for i in order.tolist()], all_q[order], all_s[order]
-            frame = pa.table({"query_id": [names[i] for i in held_q.tolist()], "id": held_id, "score": held})
-            yield from frame.cast(arrow).to_batches()
+                for a in range(0, b.num_rows if blocks else 0, ROWS):
+                    some = b.slice(a, ROWS)
+                    x, ids = vectors_of(some.column(1)), ids_of(some.column(0))
+                    if x.shape[1] != q.shape[1]:
+                        raise ValueError("vectors differ in length")
+                    for block in blocks:
+                        block.add(ids, x)
+            for i, block in enumerate(blocks):
+                frame = pa.table({"query_id": [names[j] for j in (block.q + i * size).tolist()], "id": block.id.tolist(), "score": block.score})
+                yield from frame.cast(arrow).to_batches()
 
         found = own.mapInArrow(best, schema)
         out = found if out is None else out.unionByName(found)
