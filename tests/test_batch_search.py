@@ -40,7 +40,7 @@ def growth(run) -> float:
     return most[0]
 
 
-@pytest.mark.parametrize(("metric", "where"), [("COSINE", None), ("L2", None), ("IP", None), ("L2", f.eq("lang", "en"))])
+@pytest.mark.parametrize(("metric", "where"), [("COSINE", None), ("L2", None), ("IP", None), ("L2", f.eq("lang", "en")), ("HAMMING", None)])
 def test_memory_of_a_task(spark, metric, where):
     """10,000 rows that meet 4,000 queries: a matrix of all their distances alone has 320 MB."""
     own, asked = wave(spark, 10_000, "vector").withColumnRenamed("vector_id", "id"), wave(spark, 4_000, "query")
